@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidewell.llm.lookalike import canonical_texts, lookalike_pairs
+from tidewell.llm.packing import pack
 from tidewell.llm.tokenize import encode_texts
 from tidewell.sources.tables import table
 
@@ -15,8 +17,27 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_texts(table(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
 
 
+def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with tokens, or each part of one over 8,192 tokens, with its container."""
+    counts = encode_texts(table(spark, sf_dir, "documents"), "doc_id", "text", counts_only=True)
+    return pack(counts, "id", "n_tokens", 8_192).withColumnsRenamed({"id": "doc_id", "start": "start_token", "size": "n_tokens"})
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of documents that look the same and are not identical."""
+    return lookalike_pairs(table(spark, sf_dir, "documents"), "doc_id", "text").withColumnsRenamed({"id_a": "doc_id_a", "id_b": "doc_id_b"})
+
+
+def p9_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's text in its consistent form."""
+    return canonical_texts(table(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p7_ids": p7_ids,
+    "p8_containers": p8_containers,
+    "p9_found": p9_found,
+    "p9_canonical": p9_canonical,
 }
 
 SQL: dict[str, str] = {}
