@@ -5,13 +5,31 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tidewell.llm.lines import once, site_of
 from tidewell.llm.lookalike import canonical_texts, lookalike_pairs
 from tidewell.llm.packing import pack
+from tidewell.llm.repeats import repeated_lines, without_lines
 from tidewell.llm.tokenize import encode_texts
 from tidewell.sources.tables import table
 
 
+EVIDENCE = "evidence_v3_repaired_plus_low37"
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that their site repeats excessively."""
+    return repeated_lines(table(spark, sf_dir, EVIDENCE), "evidence_id", "text", site_of(F.col("domain")), "ingested_at").withColumnRenamed("id", "evidence_id")
+
+
+def p3_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every record's text without the lines its site repeats excessively."""
+    pages = table(spark, sf_dir, EVIDENCE)
+    found = repeated_lines(pages, "evidence_id", "text", site_of(F.col("domain")), "ingested_at")
+    return without_lines(once(pages, "evidence_id", ["text"], "ingested_at"), "evidence_id", "text", found)
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's token ids; empty list for empty and null text."""
     return encode_texts(table(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
@@ -34,6 +52,8 @@ def p9_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p3_found": p3_found,
+    "p3_clean": p3_clean,
     "p7_ids": p7_ids,
     "p8_containers": p8_containers,
     "p9_found": p9_found,
