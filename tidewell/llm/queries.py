@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewell.llm.boilerplate import boilerplate_lines
 from tidewell.llm.lines import once, site_of
 from tidewell.llm.lookalike import canonical_texts, lookalike_pairs
 from tidewell.llm.packing import pack
@@ -18,6 +19,26 @@ from tidewell.sources.tables import table
 EVIDENCE = "evidence_v3_repaired_plus_low37"
 
 
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evidence with its site and the site's name, where known."""
+    pages = table(spark, sf_dir, EVIDENCE).withColumn("site", site_of(F.col("domain")))
+    sites = table(spark, sf_dir, "web_sites").select(F.col("domain").alias("site"), "site_name")  # a fixed table of 38 rows
+    return pages.join(F.broadcast(sites), "site", "left").withColumn("name", F.coalesce("site_name", "platform"))
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of pages that are not main body."""
+    pages = _pages(spark, sf_dir)
+    return boilerplate_lines(pages, "evidence_id", "text", "title", F.col("site"), F.col("name"), "ingested_at").withColumnRenamed("id", "evidence_id")
+
+
+def p1_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's text with its main body only."""
+    pages = _pages(spark, sf_dir)
+    found = boilerplate_lines(pages, "evidence_id", "text", "title", F.col("site"), F.col("name"), "ingested_at")
+    return without_lines(once(pages, "evidence_id", ["text"], "ingested_at"), "evidence_id", "text", found)
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines that their site repeats excessively."""
     return repeated_lines(table(spark, sf_dir, EVIDENCE), "evidence_id", "text", site_of(F.col("domain")), "ingested_at").withColumnRenamed("id", "evidence_id")
@@ -52,6 +73,8 @@ def p9_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
+    "p1_clean": p1_clean,
     "p3_found": p3_found,
     "p3_clean": p3_clean,
     "p7_ids": p7_ids,
