@@ -38,6 +38,8 @@ from tidewell.session import cut_lineage
 
 SENTENCE, HEADLINE, PATH, COMMON = 1, 2, 4, 8
 _TABLE = {**{ord(c): None for c in BLANK}, **{c: c - 0xFEE0 for c in range(0xFF01, 0xFF5F)}}
+_TABLE_WIDTH = {c: c - 0xFEE0 for c in range(0xFF01, 0xFF5F)}
+_WORD = re.compile(r"[\s\u3000]*([A-Za-z]+)")
 _DIGITS = re.compile("[0-9]+")
 _HAN = re.compile("[一-鿿]+")
 _ALPHA = re.compile("[A-Za-zÀ-ɏ'’]+")
@@ -86,8 +88,10 @@ def page_lines(text: str | None, title: str | None, name: str | None) -> tuple[l
         nos.append(no)
         forms.append(form)
         keys.append(_hash(masked))
-        leads.append(_hash(masked[:3] if masked[0].isalnum() or masked[0] in "\x01§" else masked[0]))
-        styles.append(_hash(masked[:3] + "|" + shape))
+        word = _WORD.match(line.translate(_TABLE_WIDTH))
+        lead = word.group(1) if word else masked[:3] if masked[0].isalnum() or masked[0] in "\x01§" else masked[0]
+        leads.append(_hash(lead))
+        styles.append(_hash((lead if word else masked[:3]) + "|" + shape))
         flags.append(flag)
     top = [f for f in forms[:12] if 8 <= len(f) <= 120]
     for i, f in enumerate(forms[:12]):  # a path holds the headline, whether or not the title is known

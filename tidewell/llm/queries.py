@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidewell.llm.boilerplate import boilerplate_lines
 from tidewell.llm.lines import once, site_of
 from tidewell.llm.lookalike import canonical_texts, lookalike_pairs
+from tidewell.llm.nearduplicates import near_duplicates
 from tidewell.llm.packing import pack
 from tidewell.llm.repeats import repeated_lines, without_lines
 from tidewell.llm.tokenize import encode_texts
@@ -51,6 +52,12 @@ def p3_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_lines(once(pages, "evidence_id", ["text"], "ingested_at"), "evidence_id", "text", found)
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of records that are nearly the same."""
+    found = near_duplicates(table(spark, sf_dir, EVIDENCE), "evidence_id", "title", "text", "ingested_at", 0.6)
+    return found.withColumnsRenamed({"id_a": "evidence_id_a", "id_b": "evidence_id_b"})
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's token ids; empty list for empty and null text."""
     return encode_texts(table(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
@@ -77,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_clean": p1_clean,
     "p3_found": p3_found,
     "p3_clean": p3_clean,
+    "p6_found": p6_found,
     "p7_ids": p7_ids,
     "p8_containers": p8_containers,
     "p9_found": p9_found,
