@@ -112,7 +112,7 @@ def _band_keys(sig: np.ndarray, bands: int) -> np.ndarray:
 
 
 def _star(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Combines one batch: (bucket, centre, member) rows; member -1 for the centre that is sent on."""
+    """Combines one batch: (bucket, centre, member) rows; the member of a row that sends a centre on is that centre."""
     rank = _mix(ids.astype(np.uint64)[:, None] ^ np.arange(keys.shape[1], dtype=np.uint64)[None, :] * _ODD).ravel()
     k, i = keys.ravel(), np.repeat(ids, keys.shape[1])
     order = np.lexsort((rank, k))
@@ -120,7 +120,7 @@ def _star(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     head = np.concatenate([[True], k[1:] != k[:-1]]) if len(k) else np.empty(0, bool)
     centre = i[np.maximum.accumulate(np.where(head, np.arange(len(k)), 0))] if len(k) else i
     bucket = np.where(head, k, _mix(k ^ i.astype(np.uint64)))  # local edges need no bucket: spread them
-    return bucket.astype(np.int64), centre, np.where(head, -1, i)
+    return bucket.astype(np.int64), centre, i
 
 
 def candidate_edges(reps: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -145,7 +145,7 @@ def candidate_edges(reps: DataFrame, bands: int = BANDS, rows: int = ROWS) -> Da
         last_bucket, last_centre = None, -1
         for b in batches:
             k, c, m = (b.column(x).to_numpy() for x in ("bucket", "centre", "member"))
-            local = m >= 0
+            local = m != c
             kk, cc = k[~local], c[~local]
             if len(kk):
                 head = np.concatenate([[kk[0] != last_bucket], kk[1:] != kk[:-1]])
