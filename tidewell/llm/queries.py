@@ -14,6 +14,8 @@ from tidewell.llm.nearduplicates import near_duplicates
 from tidewell.llm.packing import pack
 from tidewell.llm.repeats import repeated_lines, without_lines
 from tidewell.llm.tokenize import encode_texts
+from tidewell.llm.truncation import truncated, truncation_rates
+from tidewell.session import cut_lineage
 from tidewell.sources.tables import table
 
 
@@ -79,11 +81,47 @@ def p9_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonical_texts(table(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
 
 
+def _statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(kind, id, field, value, grp, ref) of candidates' opinions and rationales and of review excerpts, ids once."""
+    claims = once(table(spark, sf_dir, "candidate_soa_tuples").select("tuple_id", "opinion", "rationale", "model_name", "loaded_at"), "tuple_id", ["opinion", "rationale", "model_name"], "loaded_at")
+    fields = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in ("opinion", "rationale"))))
+    claims = claims.select(F.lit("candidate").alias("kind"), F.col("tuple_id").alias("id"), "model_name", fields.alias("f"))
+    claims = claims.select("kind", "id", "f.field", "f.value", F.col("model_name").alias("grp"), F.lit(None).cast("string").alias("ref"))
+    gold = once(table(spark, sf_dir, "gold_tuple_sample_for_human_review"), "candidate_id", ["evidence_text_excerpt", "evidence_ids"])
+    ref = F.trim(F.split("evidence_ids", "[|]")[0])
+    gold = gold.select(F.lit("gold").alias("kind"), F.col("candidate_id").alias("id"), F.lit("evidence_text_excerpt").alias("field"), F.col("evidence_text_excerpt").alias("value"), F.lit(None).cast("string").alias("grp"), F.when(ref != "", ref).alias("ref"))
+    return claims.unionByName(gold)
+
+
+def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(ref, text) of the evidence that review excerpts cite first."""
+    pages = table(spark, sf_dir, EVIDENCE).select(F.col("evidence_id").alias("ref"), "text", "ingested_at")
+    cited = table(spark, sf_dir, "gold_tuple_sample_for_human_review").select(F.trim(F.split("evidence_ids", "[|]")[0]).alias("ref")).distinct()
+    return once(pages.join(cited, "ref", "left_semi"), "ref", ["text"], "ingested_at")
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values that were cut."""
+    out = truncated(_statements(spark, sf_dir), _sources(spark, sf_dir))
+    return out.select(F.col("kind").alias("record_kind"), F.col("id").alias("record_id"), F.col("field").alias("field_name"))
+
+
+def p5_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each model's statements, and each site's excerpts, are cut."""
+    values = _statements(spark, sf_dir)
+    sites = table(spark, sf_dir, EVIDENCE).groupBy(F.col("evidence_id").alias("ref")).agg(F.min(site_of(F.col("domain"))).alias("site"))
+    values = values.join(sites, "ref", "left").withColumn("grp", F.when(F.col("kind") == "gold", F.col("site")).otherwise(F.col("grp"))).drop("site")
+    values = cut_lineage(values)
+    return truncation_rates(values, truncated(values, _sources(spark, sf_dir)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_clean": p1_clean,
     "p3_found": p3_found,
     "p3_clean": p3_clean,
+    "p5_found": p5_found,
+    "p5_rates": p5_rates,
     "p6_found": p6_found,
     "p7_ids": p7_ids,
     "p8_containers": p8_containers,
