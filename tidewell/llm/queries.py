@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.llm.boilerplate import boilerplate_lines
+from tidewell.llm.canonical import map_to_reference, misses
 from tidewell.llm.lines import once, site_of
 from tidewell.llm.lookalike import canonical_texts, lookalike_pairs
 from tidewell.llm.nearduplicates import near_duplicates
@@ -81,6 +82,29 @@ def p9_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonical_texts(table(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
 
 
+def _stakeholders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(kind, id, pos, value) of candidates' stakeholders and events' stakeholder hints, ids once."""
+    claims = once(table(spark, sf_dir, "candidate_soa_tuples").select("tuple_id", "stakeholder", "loaded_at"), "tuple_id", ["stakeholder"], "loaded_at")
+    claims = claims.select(F.lit("tuple").alias("kind"), F.col("tuple_id").alias("id"), F.lit(1).cast("long").alias("pos"), F.col("stakeholder").alias("value"))
+    events = once(table(spark, sf_dir, "event_registry"), "event_id", ["stakeholder_hints"])
+    events = events.select(F.lit("event").alias("kind"), F.col("event_id").alias("id"), F.posexplode("stakeholder_hints").alias("at", "value"))
+    return claims.unionByName(events.select("kind", "id", (F.col("at") + 1).cast("long").alias("pos"), "value"))
+
+
+def _mapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return map_to_reference(_stakeholders(spark, sf_dir), table(spark, sf_dir, "stakeholder_reference"), "ref_id", "canonical_name")
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every stakeholder value with the entry it names, 0 for none."""
+    return _mapped(spark, sf_dir).select(F.col("kind").alias("record_kind"), F.col("id").alias("record_id"), F.col("pos").alias("value_pos"), "ref_id")
+
+
+def p4_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values without an entry and how often they occur."""
+    return misses(_mapped(spark, sf_dir))
+
+
 def _statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(kind, id, field, value, grp, ref) of candidates' opinions and rationales and of review excerpts, ids once."""
     claims = once(table(spark, sf_dir, "candidate_soa_tuples").select("tuple_id", "opinion", "rationale", "model_name", "loaded_at"), "tuple_id", ["opinion", "rationale", "model_name"], "loaded_at")
@@ -120,6 +144,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_clean": p1_clean,
     "p3_found": p3_found,
     "p3_clean": p3_clean,
+    "p4_found": p4_found,
+    "p4_misses": p4_misses,
     "p5_found": p5_found,
     "p5_rates": p5_rates,
     "p6_found": p6_found,
