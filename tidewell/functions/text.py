@@ -118,8 +118,11 @@ def word_terms(c: Column, stop: list[str], longest: int = 12, sizes: tuple[int,
     """
     runs = F.filter(F.regexp_extract_all(c, F.lit("[\\x{4e00}-\\x{9fff}A-Za-z0-9]{2,}"), 0), lambda t: ~t.isin(stop) if stop else F.lit(True))
 
+    def of_size(t: Column, n: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(t) - n + 1)), lambda i: F.substring(t, i, F.lit(n)))
+
     def windows(t: Column) -> Column:
-        parts = [F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(t) - n + 1)), lambda i, n=n: F.substring(t, i, F.lit(n))) for n in sizes]
+        parts = [of_size(t, n) for n in sizes]
         return F.slice(F.array_distinct(F.concat(*parts)), 1, most)
 
     return F.array_distinct(F.flatten(F.transform(runs, lambda t: F.when(F.length(t) > longest, windows(t)).otherwise(F.array(t)))))

@@ -11,6 +11,11 @@ from tidewell.functions.cells import clamped
 from tidewell.functions.text import matched_terms
 
 
+def rounded(c: Column, places: int = 4) -> Column:
+    """Rounded with a billionth added, so that halves go up whatever the last bit of the sum."""
+    return F.round(c + 1e-9, places)
+
+
 def additive(base: float, terms: dict[str, tuple[Column, float]], places: int = 4) -> tuple[Column, Column]:
     """(score, flags): base plus the weight of each condition that holds, within [0, 1]; flags name those below 0."""
     parts = [F.when(F.coalesce(c, F.lit(False)), F.lit(float(w))).otherwise(0.0) for c, w in terms.values()]
@@ -21,7 +26,7 @@ def additive(base: float, terms: dict[str, tuple[Column, float]], places: int =
 
 def capped_hits(text: Column, title: Column, terms: Column, each: float, most: float, title_gain: float = 1.35) -> Column:
     """min(most, each x terms in the text), a term in the title counting title_gain times."""
-    hit = F.aggregate(terms, F.lit(0.0), lambda s, t: s + F.when(F.contains(F.coalesce(title, F.lit("")), t), F.lit(each * title_gain)).when(F.contains(text, t), F.lit(each)).otherwise(0.0))
+    hit = F.aggregate(terms, F.lit(0.0), lambda s, t: s + F.when(t == "", 0.0).when(F.contains(F.coalesce(title, F.lit("")), t), F.lit(each * title_gain)).when(F.contains(text, t), F.lit(each)).otherwise(0.0))
     return F.least(F.lit(most), F.coalesce(hit, F.lit(0.0)))
 
 
@@ -37,7 +42,7 @@ def event_relevance(same_event: Column, text: Column, title: Column, name_terms:
     specific = named > 0
     raw = F.when(same_event, 0.20).otherwise(0.0) + named + described + seeded + F.coalesce(people, F.lit(0.0)) - penalty * F.when(specific, 0.15).otherwise(1.0)
     generic_only = (penalty > 0) & ~specific & (seeded == 0)
-    return F.round(clamped(F.when(generic_only, F.least(raw, F.lit(0.20))).otherwise(raw)), 4)
+    return rounded(clamped(F.when(generic_only, F.least(raw, F.lit(0.20))).otherwise(raw)))
 
 
 def stage_keyword_score(text: Column, strong: list[str], weak: list[str]) -> Column:
@@ -50,7 +55,7 @@ def stage_keyword_score(text: Column, strong: list[str], weak: list[str]) -> Col
 def final_stage_score(keyword: Column, relevance: Column, quality: Column, prior: Column, stakeholder: Column, generic: Column) -> Column:
     """Weighted sum; quality 0.5 where unknown, and at most 0.24 below a relevance of 0.30."""
     raw = 0.40 * keyword + 0.25 * relevance + 0.15 * F.coalesce(quality, F.lit(0.5)) + 0.10 * prior + 0.10 * stakeholder - 0.12 * generic
-    return F.round(clamped(F.when(relevance < 0.30, F.least(raw, F.lit(0.24))).otherwise(raw)), 4)
+    return rounded(clamped(F.when(relevance < 0.30, F.least(raw, F.lit(0.24))).otherwise(raw)))
 
 
 def chain_confidence(rows: DataFrame, group: str, stage: str, score: str, domain: str, stages: int) -> DataFrame:
@@ -61,5 +66,5 @@ def chain_confidence(rows: DataFrame, group: str, stage: str, score: str, domain
     per = rows.groupBy(group, domain).agg(F.count(F.lit(1)).alias("n")).groupBy(group).agg((F.max("n") / F.sum("n")).alias("top_domain_share"))
     main = rows.groupBy(group).agg((F.countDistinct(stage) / stages).alias("coverage"), F.avg(score).alias("mean_score"))
     out = main.join(per, group)
-    conf = F.round(0.5 * F.col("coverage") + 0.4 * F.col("mean_score") + 0.1 * (1 - F.col("top_domain_share")), 4)
+    conf = rounded(0.5 * F.col("coverage") + 0.4 * F.col("mean_score") + 0.1 * (1 - F.col("top_domain_share")))
     return out.select(group, F.round("coverage", 4).alias("coverage"), F.round("mean_score", 4).alias("mean_score"), F.round("top_domain_share", 4).alias("top_domain_share"), conf.alias("confidence"))

@@ -2,18 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from tidewell.plans import evidence_queries, moments, relation_queries, text_queries  # noqa: F401
+from tidewell.plans.catalog import QUERIES, SQL
+from tidewell.plans.evidence_queries import evidence_quality_select
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from tidewell.plans import moments
-from tidewell.sources.tables import table
-
-
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("n_docs"))
-
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"docs_by_lang": flagship, **moments.QUERIES}
-SQL: dict[str, str] = {"docs_by_lang": "SELECT lang, COUNT(*) AS n_docs FROM documents GROUP BY lang"}
+QUERIES.update(moments.QUERIES)
+flagship = evidence_quality_select
