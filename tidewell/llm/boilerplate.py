@@ -63,7 +63,7 @@ def is_headline(form: str, title: str) -> bool:
     if len(title) < 6 or abs(len(form) - len(title)) > 8 or len(_STEPS.findall(form)) > len(_STEPS.findall(title)):
         return False
     a, b = _grams(form), _grams(title)
-    return len(a & b) >= 0.7 * max(len(a), len(b))
+    return len(a & b) >= 0.8 * min(len(a), len(b))
 
 
 def _hash(s: str) -> int:

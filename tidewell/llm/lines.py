@@ -32,4 +32,4 @@ def once(df: DataFrame, id_col: str, values: list[str], order_col: str | None =
     """One row for each id: the first by `order_col` (nulls last), ties by the values' hash. Null ids are left out."""
     rest = F.struct(*values)
     first = F.struct(F.col(order_col).isNull() if order_col else F.lit(False), F.col(order_col) if order_col else F.lit(0), F.xxhash64(*values))
-    return df.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min_by(rest, first).alias("v")).select(id_col, "v.*")
+    return df.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min_by(rest, first).alias("__v")).select(id_col, "__v.*")

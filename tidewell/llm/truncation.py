@@ -162,8 +162,8 @@ def truncated(values: DataFrame, sources: DataFrame | None = None, least: float
 
     sources: (ref, text), the texts that excerpts were taken from; grp is the group whose rate is reported.
     """
-    base = values.where(F.col("id").isNotNull() & F.col("value").isNotNull() & (F.length(F.regexp_replace("value", "[ \t\r\n 　]", "")) > 0))
-    base = cut_lineage(base.withColumn("vid", F.xxhash64("kind", "id", "field")))
+    base = values.select("kind", "id", "field", "value", "grp", "ref").where(F.col("id").isNotNull() & F.col("value").isNotNull() & (F.length(F.regexp_replace("value", "[ \t\r\n 　]", "")) > 0))
+    base = cut_lineage(base.dropDuplicates(["kind", "id", "field"]).withColumn("vid", F.xxhash64("kind", "id", "field")))
     marks = "(…|\\.\\.|�|[-—–~])[ \t\r\n 　…\\.�—–~-]*$"
     stem = F.regexp_replace("value", "(…|\\.{2,}|�|[-—–~]|[ \t\r\n 　])+$", "")
     open_end = ~F.regexp_replace(stem, "[”\"』」）)’']+$", "").rlike("[。！？!?.]$")
