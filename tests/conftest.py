@@ -5,11 +5,12 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from tidewell.session import local_session  # noqa: E402
+from tidewell.session import local_session, ship  # noqa: E402
 
 
 @pytest.fixture(scope="session")
 def spark():
     session = local_session(cores=4, memory="4g", partitions=4)
+    ship(session)
     yield session
     session.stop()
