@@ -60,6 +60,12 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores if its files give fewer than half as many splits; with enough files nothing is shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 < cores else df
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors, once for each context, for clusters where it isn't installed."""
     sc = spark.sparkContext
