@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.llm.lines import BLANK, once
-from tidewell.session import cut_lineage
+from tidewell.session import cut_lineage, spread
 
 SENTENCE, HEADLINE, PATH, COMMON = 1, 2, 4, 8
 _TABLE = {**{ord(c): None for c in BLANK}, **{c: c - 0xFEE0 for c in range(0xFF01, 0xFF5F)}}
@@ -140,7 +140,7 @@ def boilerplate_lines(df: DataFrame, id_col: str, text_col: str, title_col: str,
     rows = df.select(F.col(id_col).alias("id"), site.alias("site"), F.col(order_col).alias("at"), F.col(title_col).alias("title"), name.alias("name"), F.col(text_col).alias("text")).where("id IS NOT NULL")
     types = {f.name: f.dataType.simpleString() for f in rows.schema}
     lines = ["nos", "keys", "styles", "leads", "flags"]
-    feats = rows.mapInArrow(_features, f"id {types['id']}, site string, at {types['at']}, {_FEATURES}")
+    feats = spread(rows).mapInArrow(_features, f"id {types['id']}, site string, at {types['at']}, {_FEATURES}")
     pages = cut_lineage(once(feats, "id", ["site", *lines], "at"))
 
     # content nodes: pages of each host, and of all hosts, that carry them

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.session import cut_lineage
+from tidewell.session import cut_lineage, spread
 
 #: Letters of one shape: Latin, then its Greek and Cyrillic look-alikes (fixed values).
 SHAPES = [
@@ -118,13 +118,13 @@ class Reader:
 
 def fit_bigrams(df: DataFrame, text_col: str) -> dict[str, int]:
     """Bigram counts over all texts. At most the square of the letters of three scripts, so safe to broadcast."""
-    grams = df.select(F.col(text_col).cast("string").alias("t")).mapInArrow(_bigrams, "gram string, n long")
+    grams = spread(df.select(F.col(text_col).cast("string").alias("t"))).mapInArrow(_bigrams, "gram string, n long")
     return {r["gram"]: r["n"] for r in grams.groupBy("gram").agg(F.sum("n").alias("n")).collect()}
 
 
 def _apply(df: DataFrame, id_col: str, text_col: str, keys: bool) -> DataFrame:
     shared = df.sparkSession.sparkContext.broadcast(fit_bigrams(df, text_col))
-    docs = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    docs = spread(df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")))
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.llm.lines import BLANK, once
-from tidewell.session import cut_lineage, written
+from tidewell.session import cut_lineage, spread, written
 
 RUN = 5
 BANDS, ROWS = 80, 6
@@ -230,8 +230,8 @@ def near_duplicates(df: DataFrame, id_col: str, title_col: str, text_col: str, o
     # bodies: each text once, in one shuffle that folds copies before it
     bodies = written(rows.groupBy("rid").agg(F.min("body").alias("body")))
 
-    edges = candidate_edges(bodies)
-    sketch = bodies.mapInArrow(_sketch_rows, "rid long, sketch binary")
+    edges = candidate_edges(spread(bodies))
+    sketch = spread(bodies).mapInArrow(_sketch_rows, "rid long, sketch binary")
     allowed = SKETCH_BITS * (1 - threshold) / 2
     allowed += SKETCH_SLACK * (SKETCH_BITS * (1 + threshold) / 2 * (1 - threshold) / 2) ** 0.5
     near = edges.join(sketch.select(F.col("rid").alias("a"), F.col("sketch").alias("s")), "a").join(sketch.select(F.col("rid").alias("b"), F.col("sketch").alias("t")), "b").mapInArrow(_near(allowed), "a long, b long")

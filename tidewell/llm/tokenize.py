@@ -24,6 +24,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewell.session import spread
+
 #: Folder of the public vocabulary files; a parameter everywhere.
 TOKENIZERS = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -136,7 +138,7 @@ def encode_texts(df: DataFrame, id_col: str | Column, text_col: str | Column, pa
     Only texts over `leaf_chars` are shuffled, by leaf; their encodings, never their texts, meet again by id.
     """
     as_col = lambda c: F.col(c) if isinstance(c, str) else c
-    docs = df.select(as_col(id_col).alias("id"), as_col(text_col).cast("string").alias("text"))
+    docs = spread(df.select(as_col(id_col).alias("id"), as_col(text_col).cast("string").alias("text")))
     kind = docs.schema["id"].dataType.simpleString()
     is_long = F.coalesce(F.length("text") > leaf_chars, F.lit(False))
     tail = "n_tokens int" if counts_only else "ids array<int>"
