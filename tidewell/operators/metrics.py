@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.functions.text import char_jaccard
+from tidewell.operators.similarity import similar_pairs
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -30,11 +30,10 @@ def exact_f1(gold: DataFrame, predicted: DataFrame, keys: list[str]) -> DataFram
     return n.select("tp", "n_gold", "n_pred", *prf(F.col("tp"), F.col("n_pred"), F.col("n_gold")))
 
 
-def best_match(gold: DataFrame, predicted: DataFrame, group: str, gold_id: str, text: str, threshold: float, similarity=char_jaccard) -> DataFrame:
+def best_match(gold: DataFrame, predicted: DataFrame, group: str, id_col: str, text: str, threshold: float) -> DataFrame:
     """(group, n_gold, n_matched): gold rows whose best prediction of the group reaches the threshold; many may share one."""
-    p = predicted.select(F.col(group).alias("__g"), F.col(text).alias("__t"))
-    best = gold.join(p, gold[group] == p["__g"], "left").groupBy(group, gold_id).agg(F.coalesce(F.max(F.round(similarity(F.col(text), F.col("__t")), 6)), F.lit(0.0)).alias("best"))
-    return best.groupBy(group).agg(F.count(F.lit(1)).alias("n_gold"), F.sum((F.col("best") >= threshold).cast("int")).alias("n_matched"))
+    hit = similar_pairs(gold, predicted, group, id_col, text, threshold).select(F.col("grp").alias(group), F.col("g").alias(id_col)).distinct().withColumn("hit", F.lit(1))
+    return gold.join(hit, [group, id_col], "left").groupBy(group).agg(F.count(F.lit(1)).alias("n_gold"), F.count("hit").alias("n_matched"))
 
 
 def greedy_pairs(pairs: DataFrame, group: str) -> DataFrame:
@@ -59,26 +58,18 @@ def greedy_pairs(pairs: DataFrame, group: str) -> DataFrame:
     return pairs.select(group, "g", "p", "similarity").groupBy(group).applyInPandas(match, f"{group} {kind[group]}, g {kind['g']}, p {kind['p']}, similarity double")
 
 
-def soft_pairs(gold: DataFrame, predicted: DataFrame, group: str, id_col: str, texts: list[str], threshold: float, similarity=char_jaccard) -> DataFrame:
-    """(group, g, p, similarity): pairs of one group whose mean similarity over the texts reaches the threshold."""
-    g = gold.select(group, F.col(id_col).alias("g"), *(F.col(t).alias(f"g_{t}") for t in texts))
-    p = predicted.select(group, F.col(id_col).alias("p"), *(F.col(t).alias(f"p_{t}") for t in texts))
-    total = sum((similarity(F.col(f"g_{t}"), F.col(f"p_{t}")) for t in texts[1:]), similarity(F.col(f"g_{texts[0]}"), F.col(f"p_{texts[0]}")))
-    return g.join(p, group).select(group, "g", "p", F.round(total / len(texts), 6).alias("similarity")).where(F.col("similarity") >= threshold)
-
-
-def soft_f1(gold: DataFrame, predicted: DataFrame, group: str, id_col: str, texts: list[str], threshold: float = 0.5) -> DataFrame:
+def soft_f1(gold: DataFrame, predicted: DataFrame, group: str, id_col: str, text: str, threshold: float = 0.5) -> DataFrame:
     """One row: one-to-one soft precision, recall and F1."""
-    tp = greedy_pairs(soft_pairs(gold, predicted, group, id_col, texts, threshold), group).agg(F.count(F.lit(1)).alias("tp"))
+    tp = greedy_pairs(similar_pairs(gold, predicted, group, id_col, text, threshold), "grp").agg(F.count(F.lit(1)).alias("tp"))
     n = gold.agg(F.count(F.lit(1)).alias("n_gold")).join(predicted.agg(F.count(F.lit(1)).alias("n_pred"))).join(tp)  # three single rows
     return n.select("tp", "n_gold", "n_pred", *prf(F.col("tp"), F.col("n_pred"), F.col("n_gold")))
 
 
-def sensitivity(gold: DataFrame, predicted: DataFrame, group: str, id_col: str, texts: list[str], thresholds: list[float]) -> DataFrame:
+def sensitivity(gold: DataFrame, predicted: DataFrame, group: str, id_col: str, text: str, thresholds: list[float]) -> DataFrame:
     """(threshold, tp): one-to-one matches at each threshold, from one similarity join."""
-    pairs = soft_pairs(gold, predicted, group, id_col, texts, min(thresholds))
+    pairs = similar_pairs(gold, predicted, group, id_col, text, min(thresholds))
     grid = pairs.select("*", F.explode(F.array(*map(F.lit, thresholds))).alias("threshold")).where(F.col("similarity") >= F.col("threshold"))
-    keyed = grid.withColumn("cell", F.concat_ws("|", F.col("threshold").cast("string"), F.col(group).cast("string")))
+    keyed = grid.withColumn("cell", F.concat_ws("|", F.col("threshold").cast("string"), F.col("grp").cast("string")))
     return greedy_pairs(keyed.select("cell", "g", "p", "similarity"), "cell").groupBy(F.substring_index("cell", "|", 1).cast("double").alias("threshold")).agg(F.count(F.lit(1)).alias("tp"))
 
 

@@ -435,13 +435,13 @@ def best_soft_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def greedy_match_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One-to-one soft F1; greedy matching is sequential, so it has no SQL."""
-    return metrics.soft_f1(_gold(spark, sf_dir), _claims(spark, sf_dir), "event_id", "id", ["opinion"])
+    return metrics.soft_f1(_gold(spark, sf_dir), _claims(spark, sf_dir), "event_id", "id", "opinion")
 
 
 @query()
 def metric_sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One-to-one matches at several thresholds."""
-    return metrics.sensitivity(_gold(spark, sf_dir), _claims(spark, sf_dir), "event_id", "id", ["opinion"], [0.3, 0.5, 0.7])
+    return metrics.sensitivity(_gold(spark, sf_dir), _claims(spark, sf_dir), "event_id", "id", "opinion", [0.3, 0.5, 0.7])
 
 
 _LABELS = ["supported", "partially_supported", "insufficient_evidence"]
