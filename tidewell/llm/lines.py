@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 #: White space within a line (fixed values: space, tab, CR, no-break space, ideographic space).
 BLANK = " \t\r 　"
-_WIDE = "".join(map(chr, range(0xFF01, 0xFF5F)))
-_NARROW = "".join(map(chr, range(0x21, 0x7F)))
+WIDE = "".join(map(chr, range(0xFF01, 0xFF5F)))
+NARROW = "".join(map(chr, range(0x21, 0x7F)))
 
 
 def site_of(domain: Column) -> Column:
@@ -19,7 +19,7 @@ def site_of(domain: Column) -> Column:
 
 def line_forms(text: Column) -> Column:
     """The lines of a text without white space, with ASCII width and every number as `0`; a blank line is ''."""
-    return F.split(F.regexp_replace(F.translate(text, _WIDE + BLANK, _NARROW), "[0-9]+", "0"), "\n", -1)
+    return F.split(F.regexp_replace(F.translate(text, WIDE + BLANK, NARROW), "[0-9]+", "0"), "\n", -1)
 
 
 def line_keys(text: Column) -> Column:

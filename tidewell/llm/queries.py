@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewell.llm.boilerplate import boilerplate_lines
 from tidewell.llm.canonical import map_to_reference, misses
-from tidewell.llm.lines import once, site_of
+from tidewell.llm.lines import NARROW, WIDE, once, site_of
 from tidewell.llm.lookalike import canonical_texts, lookalike_pairs
 from tidewell.llm.nearduplicates import near_duplicates
 from tidewell.llm.packing import pack
@@ -155,4 +155,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p9_canonical": p9_canonical,
 }
 
-SQL: dict[str, str] = {}
+#: The defined lines of problem 3; the other problems are tested against brute force, round trips and definitions.
+_P3 = f"""WITH e AS (SELECT evidence_id, min_by(text, ingested_at) AS text, regexp_replace(lower(trim(min_by(domain, ingested_at))), '^www[.]', '') AS site FROM {EVIDENCE} GROUP BY evidence_id),
+    n AS (SELECT site, count(*) AS n FROM e WHERE site <> '' GROUP BY site),
+    l AS (SELECT evidence_id, site, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM e WHERE site <> ''),
+    k AS (SELECT evidence_id, site, line_no, regexp_replace(translate(line, '{WIDE}' || ' ' || chr(9) || chr(13) || chr(160) || chr(12288), '{NARROW.replace("'", "''")}'), '[0-9]+', '0', 'g') AS key FROM l),
+    c AS (SELECT site, key, count(DISTINCT evidence_id) AS c FROM k WHERE key <> '' GROUP BY site, key)
+    SELECT evidence_id, line_no::BIGINT AS line_no FROM k JOIN c USING (site, key) JOIN n USING (site) WHERE c >= 5 AND c >= 0.05 * n - 1e-9"""
+
+SQL: dict[str, str] = {"p3_found": _P3}

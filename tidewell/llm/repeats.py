@@ -59,13 +59,13 @@ def excess_lines(records: DataFrame, min_records: int, min_share: float, alpha:
     seen = known.select("source", F.explode(F.array_distinct(F.col("lines.key"))).alias("key"))
     per = cut_lineage(seen.groupBy("source", "key").agg(F.count(F.lit(1)).alias("k1")))
     m, incidences = per.agg(F.count(F.lit(1)), F.coalesce(F.sum("k1"), F.lit(0))).first()
-    ordinary = incidences / max(m, 1)  # records of an average line of an average source
+    ordinary = incidences / max(m, 1)  # records that hold an average line of one source
     often = per.where(F.col("k1") >= min_records)
     totals = per.join(often.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.sum("k1").alias("k"))
     tests = often.join(totals, "key").join(F.broadcast(sizes) if sizes.count() <= 10_000 else sizes, "source")
     n2 = F.greatest(F.lit(n_all) - F.col("n1"), F.lit(1))
     own = log_likelihood(F.col("k1"), F.col("n1"), F.col("k") - F.col("k1"), n2)
-    usual = log_likelihood(F.col("k1"), F.col("n1"), F.least(F.lit(ordinary) * n2 / F.col("n1"), n2 * 0.01), n2)
+    usual = log_likelihood(F.col("k1"), F.col("n1"), F.least(F.lit(ordinary), n2 * 0.01), n2)
     tests = cut_lineage(tests.select("source", "key", "k1", "n1", F.greatest(own, usual).alias("g")))
     bar = _bar(tests, m, alpha)
     kept = tests.where((F.col("g") >= bar) & (F.col("k1") >= F.col("n1") * min_share - 1e-9))
