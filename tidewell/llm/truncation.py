@@ -130,7 +130,7 @@ def ending_chances(values: DataFrame, open_values: DataFrame) -> DataFrame:
     counts = values.select("field", "value").mapInArrow(_counts, "window long, ends long, goes_on long")
     counts = counts.groupBy("window").agg(F.sum("ends").alias("ends"), F.sum("goes_on").alias("goes_on"))
     asked = open_values.select("vid", "field", "value").mapInArrow(_questions, "vid long, level int, window long")
-    got = asked.join(counts, "window", "left").groupBy("vid").agg(F.array_sort(F.collect_list(F.struct("level", F.coalesce("ends", F.lit(0)).alias("ends"), F.coalesce("goes_on", F.lit(0)).alias("goes_on")))).alias("w"))
+    got = asked.join(counts, "window", "left").groupBy("vid").agg(F.array_sort(F.collect_set(F.struct("level", F.coalesce("ends", F.lit(0)).alias("ends"), F.coalesce("goes_on", F.lit(0)).alias("goes_on")))).alias("w"))
     blend = F.aggregate("w", F.lit(0.1), lambda p, x: (x["ends"].cast("double") + ALPHA * p) / (x["ends"] + x["goes_on"] + ALPHA))
     return got.select("vid", blend.alias("chance"))
 
@@ -163,7 +163,7 @@ def truncated(values: DataFrame, sources: DataFrame | None = None, least: float
     sources: (ref, text), the texts that excerpts were taken from; grp is the group whose rate is reported.
     """
     base = values.select("kind", "id", "field", "value", "grp", "ref").where(F.col("id").isNotNull() & F.col("value").isNotNull() & (F.length(F.regexp_replace("value", "[ \t\r\n 　]", "")) > 0))
-    base = cut_lineage(base.dropDuplicates(["kind", "id", "field"]).withColumn("vid", F.xxhash64("kind", "id", "field")))
+    base = cut_lineage(base.withColumn("vid", F.xxhash64("kind", "id", "field", "value")))
     marks = "(…|\\.\\.|�|[-—–~])[ \t\r\n 　…\\.�—–~-]*$"
     stem = F.regexp_replace("value", "(…|\\.{2,}|�|[-—–~]|[ \t\r\n 　])+$", "")
     open_end = ~F.regexp_replace(stem, "[”\"』」）)’']+$", "").rlike("[。！？!?.]$")
@@ -172,12 +172,12 @@ def truncated(values: DataFrame, sources: DataFrame | None = None, least: float
     judged = opened.join(chances, "vid", "left")
     if sources is not None:
         cited = opened.where(F.col("ref").isNotNull()).select("vid", "value", "ref").join(sources.select("ref", "text"), "ref").select("vid", "value", "text")
-        verdicts = cited.mapInArrow(_follow, "vid long, verdict int")
+        verdicts = cited.mapInArrow(_follow, "vid long, verdict int").groupBy("vid").agg(F.min("verdict").alias("verdict"))
         judged = judged.join(verdicts, "vid", "left")
     else:
         judged = judged.withColumn("verdict", F.lit(None).cast("int"))
     cut = F.coalesce(F.col("verdict") == 1, F.when(F.col("marked"), True).otherwise(F.col("chance") < least), F.lit(False))
-    return judged.where(cut).select("vid", "kind", "id", "field", "grp", "chance", "verdict")
+    return judged.where(cut).select("vid", "kind", "id", "field", "grp", "chance", "verdict").dropDuplicates(["kind", "id", "field"])
 
 
 def truncation_rates(values: DataFrame, found: DataFrame) -> DataFrame:
