@@ -56,6 +56,25 @@ def test_main_body_is_kept(spark):
     assert boilerplate_lines(df.limit(0), "eid", "body", "ttl", F.lit("s"), F.lit("n"), "at").count() == 0
 
 
+def test_body_of_a_hot_group_is_kept(spark):
+    df = pages(spark).where("eid LIKE 'e%'")
+    story = "The hot story of the river begins on this page.\nIts second paragraph tells of the bridge.\nIts last paragraph ends at the harbour."
+    rows = []
+    for i in range(60):  # equal texts on one host; then one body in the frames of several hosts, with comments of their own
+        word = chr(97 + i % 26) + chr(97 + i // 26) + "up"
+        text = f"Home | News | Jobs\nHot title of the river\n{story}\nShare this page\nMore stories\n" + ("Other story of the river\n(c) 2020 Paper" if i < 30 else f"Other story {word} from town\nSo says {word} too.\n(c) 2020 Paper")
+        rows.append((f"h{i:03d}", "a.example" if i < 30 else f"{i % 3}.example", "Hot title of the river", text, i))
+    df = df.unionByName(spark.createDataFrame(rows, "eid string, dom string, ttl string, body string, at int").selectExpr("*", "'x' AS lines", "'y' AS site", "'z' AS id"))
+    found = boilerplate_lines(df, "eid", "body", "ttl", site_of(F.col("dom")), F.lit(None).cast("string"), "at", least_pages=3)
+    by_id = {}
+    for r in found.collect():
+        by_id.setdefault(r["id"], set()).add(r["line_no"])
+    for i in range(60):
+        assert not by_id[f"h{i:03d}"] & {2, 3, 4, 5} and {1, 6, 7} <= by_id[f"h{i:03d}"], (i, by_id[f"h{i:03d}"])
+    for i in range(40):
+        assert by_id[f"e{i:03d}"] == {1, 6, 7, 8, 9}, (i, by_id[f"e{i:03d}"])
+
+
 def test_page_lines():
     assert form_of("　Ａ １２ b 34") == "A0b0"
     assert is_headline("城区停水通知(更新)", "城区停水通知") and not is_headline("首页/城区停水通知", "城区停水通知")

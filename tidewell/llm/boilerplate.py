@@ -14,6 +14,11 @@ alone and with the shape of its beginning). Importance is measured by informatio
 
 A paragraph is an unrepeated line that ends like a sentence and stands outside such branches.
 
+All shares and places are counted over stories, not over pages: pages of a host with the same STORY longest sentences
+(with the same lines, if they have fewer) count once for the host, and stories of several hosts that agree so without
+their hosts' boilerplate count once for the corpus. So the body of a text that was copied or retold verbatim on any
+share of the pages stays; the verdict holds for all copies.
+
 Defined cases: rows with null id are left out; redelivered ids count once; null and blank texts have no lines; blank
 lines are never reported; pages of unknown host are judged by the corpus alone; an empty table gives an empty table.
 Lines meet only their host's array of boilerplate (bounded: every entry is on a fixed share of the host's pages), and
@@ -37,6 +42,8 @@ from tidewell.llm.lines import BLANK, once
 from tidewell.session import cut_lineage, spread
 
 SENTENCE, HEADLINE, PATH, COMMON = 1, 2, 4, 8
+#: Pages that agree in so many of their longest sentences tell the same story.
+STORY = 3
 _TABLE = {**{ord(c): None for c in BLANK}, **{c: c - 0xFEE0 for c in range(0xFF01, 0xFF5F)}}
 _TABLE_WIDTH = {c: c - 0xFEE0 for c in range(0xFF01, 0xFF5F)}
 _WORD = re.compile(r"[\s\u3000]*([A-Za-z]+)")
@@ -70,8 +77,8 @@ def _hash(s: str) -> int:
     return xxhash.xxh3_64_intdigest(s.encode("utf-8", "surrogatepass")) - 2**63
 
 
-def page_lines(text: str | None, title: str | None, name: str | None) -> tuple[list[int], list[int], list[int], list[int], list[int]]:
-    """Line numbers, content nodes, styles, leads and flags of a page's non-blank lines."""
+def page_lines(text: str | None, title: str | None, name: str | None) -> tuple[list[int], list[int], list[int], list[int], list[int], list[int]]:
+    """Line numbers, content nodes, styles, leads and flags of a page's non-blank lines; content nodes of its sentences, longest first."""
     head, site = form_of(title or ""), form_of(name or "")
     nos, keys, styles, leads, flags, forms = [], [], [], [], [], []
     for no, line in enumerate((text or "").split("\n"), 1):
@@ -99,15 +106,16 @@ def page_lines(text: str | None, title: str | None, name: str | None) -> tuple[l
             if g in f and g != f and len(_STEPS.findall(f)) > len(_STEPS.findall(g)) and len(f) <= 200:
                 flags[i] |= PATH
                 break
-    return nos, keys, styles, leads, flags
+    said = {k: len(f) for k, f, flag in zip(keys, forms, flags) if flag & (SENTENCE | HEADLINE | PATH) == SENTENCE}
+    return nos, keys, styles, leads, flags, sorted(said, key=lambda k: (-said[k], k))
 
 
 _FEATURES = "nos array<int>, keys array<bigint>, styles array<bigint>, leads array<bigint>, flags array<int>"
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
-    names = ["nos", "keys", "styles", "leads", "flags"]
+    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
+    names = ["nos", "keys", "styles", "leads", "flags", "said"]
     for b in batches:
         for i in range(0, b.num_rows, 1000):
             part = b.slice(i, 1000)
@@ -134,22 +142,35 @@ def zones(flags: np.ndarray, branch: np.ndarray) -> tuple[int, int, int]:
     return (int(text[0]), int(text[-1]), end) if len(text) else (end, -1, end)
 
 
+def _story(said: Column, lines: Column) -> Column:
+    """What pages of one story have in common: their longest sentences, or all lines if there are fewer."""
+    return F.when(F.size(said) >= STORY, F.xxhash64(F.slice(said, 1, STORY))).otherwise(F.xxhash64(lines))
+
+
 def boilerplate_lines(df: DataFrame, id_col: str, text_col: str, title_col: str, site: Column, name: Column, order_col: str, host_bits: float = math.log2(40), corpus_bits: float = math.log2(100), least_pages: int = 3, seldom: float = 0.15, follow: float = 0.35) -> DataFrame:
     """(id, line_no) of every non-blank line that is not main body."""
     spark = df.sparkSession
     rows = df.select(F.col(id_col).alias("id"), site.alias("site"), F.col(order_col).alias("at"), F.col(title_col).alias("title"), name.alias("name"), F.col(text_col).alias("text")).where("id IS NOT NULL")
     types = {f.name: f.dataType.simpleString() for f in rows.schema}
     lines = ["nos", "keys", "styles", "leads", "flags"]
-    feats = spread(rows).mapInArrow(_features, f"id {types['id']}, site string, at {types['at']}, {_FEATURES}")
-    pages = cut_lineage(once(feats, "id", ["site", *lines], "at"))
-
-    # content nodes: pages of each host, and of all hosts, that carry them
-    per = pages.select("site", F.explode(F.array_distinct("keys")).alias("key")).groupBy("site", "key").agg(F.count(F.lit(1)).alias("k"))
-    per = cut_lineage(per)
-    sizes = pages.where("size(keys) > 0").groupBy("site").agg(F.count(F.lit(1)).alias("n"))
-    total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    feats = spread(rows).mapInArrow(_features, f"id {types['id']}, site string, at {types['at']}, {_FEATURES}, said array<bigint>")
+    pages = cut_lineage(once(feats, "id", ["site", *lines, "said"], "at").withColumn("page", F.xxhash64("id")))
+
+    # content nodes: stories of each host, and of all hosts, that carry them
+    told = pages.where("size(keys) > 0").groupBy("site", _story(F.col("said"), F.col("keys")).alias("story")).agg(F.min("page").alias("page")).select("page")
+    stories = cut_lineage(pages.select("page", "site", "keys", "said").join(told, "page", "left_semi"))
+    per = stories.select("site", F.explode(F.array_distinct("keys")).alias("key")).groupBy("site", "key").agg(F.count(F.lit(1)).alias("k"))
+    sizes = stories.groupBy("site").agg(F.count(F.lit(1)).alias("n"))
     hosts = per.where(F.col("site").isNotNull() & (F.col("k") >= least_pages)).join(sizes, "site").where(F.col("k") >= F.col("n") * 2.0**-host_bits).groupBy("site").agg(F.collect_set("key").alias("common"))
-    everywhere = per.groupBy("key").agg(F.sum("k").alias("k")).where((F.col("k") >= max(5, least_pages)) & (F.col("k") >= total * 2.0**-corpus_bits))
+    hosts = cut_lineage(hosts)
+    own = F.coalesce("common", F.array().cast("array<bigint>"))
+    rest = F.array_except("keys", own)
+    rest = F.when(F.size(rest) > 0, rest).otherwise(F.col("keys"))
+    first = stories.join(hosts, "site", "left").groupBy(_story(F.array_except("said", own), rest).alias("story")).agg(F.min("page").alias("page")).select("page")
+    first = cut_lineage(first)
+    total = first.count()
+    everywhere = stories.join(first, "page", "left_semi").select(F.explode(F.array_distinct("keys")).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("k"))
+    everywhere = everywhere.where((F.col("k") >= max(5, least_pages)) & (F.col("k") >= total * 2.0**-corpus_bits))
     corpus = np.array(sorted(r["key"] for r in everywhere.select("key").collect()), np.int64)  # at most 2^corpus_bits times the lines of a page
     known = spark.sparkContext.broadcast(corpus)
 
@@ -162,9 +183,11 @@ def boilerplate_lines(df: DataFrame, id_col: str, text_col: str, title_col: str,
                 seen = np.isin(p["keys"], known.value) | (np.isin(p["keys"], own.to_numpy()) if own is not None else False)
                 out.append(p["flags"] | np.where(seen & ((p["flags"] & HEADLINE) == 0), COMMON, 0).astype(np.int32))
             flags = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(f) for f in out])]).astype(np.int32)), pa.array(np.concatenate(out) if out else np.empty(0, np.int32)))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("id", *lines[:4])), flags], names=["id", *lines])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("id", "once", *lines[:4])), flags], names=["id", "once", *lines])
 
-    marked = cut_lineage(pages.join(hosts, "site", "left").select("id", *lines, "common").mapInArrow(mark, f"id {types['id']}, {_FEATURES}"))
+    marked = pages.join(first.withColumn("once", F.lit(True)), "page", "left").join(hosts, "site", "left")
+    marked = cut_lineage(marked.select("id", "once", *lines, "common").mapInArrow(mark, f"id {types['id']}, once boolean, {_FEATURES}"))
+    counted = marked.where("once")
 
     # branches: what share of the page's paragraphs follows a boilerplate node
     def following(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,7 +205,7 @@ def boilerplate_lines(df: DataFrame, id_col: str, text_col: str, title_col: str,
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([int(s[0]) for s in sums.values()], pa.int64()), pa.array([s[1] for s in sums.values()], pa.float64())], names=["key", "n", "after"])
 
     least = max(5, total // 2000)
-    ends = marked.mapInArrow(following, "key long, n long, after double").groupBy("key").agg(F.sum("n").alias("n"), F.sum("after").alias("after"))
+    ends = counted.mapInArrow(following, "key long, n long, after double").groupBy("key").agg(F.sum("n").alias("n"), F.sum("after").alias("after"))
     ends = ends.where((F.col("n") >= least) & (F.col("after") <= F.col("n") * follow))
     opens = spark.sparkContext.broadcast(np.array(sorted(r["key"] for r in ends.select("key").collect()), np.int64))
 
@@ -206,7 +229,7 @@ def boilerplate_lines(df: DataFrame, id_col: str, text_col: str, title_col: str,
         rows = list(sums.items())
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k, _ in rows], pa.bool_()), pa.array([k[1] for k, _ in rows], pa.int64()), *(pa.array([v[z] for _, v in rows], pa.int64()) for z in range(3))], names=["lead", "key", "above", "between", "below"])
 
-    places_df = marked.mapInArrow(places, "lead boolean, key long, above long, between long, below long")
+    places_df = counted.mapInArrow(places, "lead boolean, key long, above long, between long, below long")
     nodes = places_df.groupBy("lead", "key").agg(*(F.sum(c).alias(c) for c in ("above", "between", "below"))).withColumn("n", F.expr("above + between + below")).where(F.col("n") >= max(8, total // 2000))
     styles: tuple[dict[int, tuple[float, int]], dict[int, tuple[float, int]]] = ({}, {})
     for r in nodes.collect():  # each is on at least one in 2000 pages
