@@ -75,6 +75,23 @@ def test_body_of_a_hot_group_is_kept(spark):
         assert by_id[f"e{i:03d}"] == {1, 6, 7, 8, 9}, (i, by_id[f"e{i:03d}"])
 
 
+def test_a_small_host_is_judged_alike_in_a_large_table(spark):
+    rows = []
+    for i in range(7):
+        w = chr(97 + i) + "ox"
+        body = "\n".join(f"Paragraph {k} of story {w} ends here." for k in ("one", "two", "three", "four"))
+        text = f"Front | Desk\nTitle {w} of the day\nReporter: {w} Miller\nReporter: {w} Smith\n{body}\nReaders write in\nI never liked the story of {w}."
+        rows.append((f"t{i}", "tiny.example", f"Title {w} of the day", text, i))
+    kinds = "eid string, dom string, ttl string, body string, at int"
+    tiny = spark.createDataFrame(rows, kinds)
+    others = spark.range(16_500).selectExpr("concat('o', id) AS eid", "concat(id % 40, '.example') AS dom", "concat('News about ', md5(string(id))) AS ttl", "concat('Home | News\n', 'News about ', md5(string(id)), '\nIt starts with ', md5(string(id + 1)), ' today.\nIt goes on with ', md5(string(id + 2)), ' then.\nIt ends with ', md5(string(id + 3)), ' at last.\n(c) Paper') AS body", "int(id) AS at")
+    of = []
+    for df in (tiny, tiny.unionByName(others)):
+        found = boilerplate_lines(df.selectExpr("*", "'x' AS lines", "'y' AS site", "'z' AS id"), "eid", "body", "ttl", site_of(F.col("dom")), F.lit(None).cast("string"), "at")
+        of.append({(r["id"], r["line_no"]) for r in found.where("id LIKE 't%'").collect()})
+    assert of[0] == of[1] == {(f"t{i}", n) for i in range(7) for n in (1, 3, 4, 9, 10)}
+
+
 def test_page_lines():
     assert form_of("　Ａ １２ b 34") == "A0b0"
     assert is_headline("城区停水通知(更新)", "城区停水通知") and not is_headline("首页/城区停水通知", "城区停水通知")

@@ -6,12 +6,16 @@ alone and with the shape of its beginning). Importance is measured by informatio
 
 * A content node's importance is the surprise of meeting it on a page of the host, -log2 of the share of pages that
   carry it. Below `host_bits` (or `corpus_bits` over all hosts, for hosts too small or unknown) it is boilerplate.
-* A boilerplate content node after which few of a page's paragraphs follow, averaged over all pages, opens a low
+* A boilerplate content node after which few of a page's paragraphs follow, averaged over the host's pages, opens a low
   importance branch: share bars, legal notes, teaser and comment headings. The branch goes with everything below it.
 * A presentation node's importance is the share of its unrepeated lines that stand between two paragraphs of a page.
   Lines above the first or below the last paragraph whose style is seldom there go: paths, bylines, tags, links.
   Above the first paragraph a line whose style is rare stays (it may be a headline), below the last one it goes.
 
+Branches and presentation nodes are judged by the host where it has FEW_ENDS or FEW_LINES of them, with as many more at
+the rate of all hosts where that is known; elsewhere, and for unknown hosts, by all hosts. The floors are counted in the
+host's own pages, so a host is judged alike however many others the table holds.
+
 A paragraph is an unrepeated line that ends like a sentence and stands outside such branches.
 
 All shares and places are counted over stories, not over pages: pages of a host with the same STORY longest sentences
@@ -22,7 +26,8 @@ share of the pages stays; the verdict holds for all copies.
 Defined cases: rows with null id are left out; redelivered ids count once; null and blank texts have no lines; blank
 lines are never reported; pages of unknown host are judged by the corpus alone; an empty table gives an empty table.
 Lines meet only their host's array of boilerplate (bounded: every entry is on a fixed share of the host's pages), and
-the broadcast sets hold forms and styles that are on a fixed share of all pages.
+the broadcast sets hold forms and styles that are on a fixed share of all pages. A host's verdicts are arrays too: they
+hold its boilerplate, and styles that are on a fixed share of its pages.
 """
 
 from __future__ import annotations
@@ -42,6 +47,8 @@ from tidewell.llm.lines import BLANK, once
 from tidewell.session import cut_lineage, spread
 
 SENTENCE, HEADLINE, PATH, COMMON = 1, 2, 4, 8
+#: So often, at least, a host has what it judges itself: branch openers and lines of a style.
+FEW_ENDS, FEW_LINES = 5, 8
 #: Pages that agree in so many of their longest sentences tell the same story.
 STORY = 3
 _TABLE = {**{ord(c): None for c in BLANK}, **{c: c - 0xFEE0 for c in range(0xFF01, 0xFF5F)}}
@@ -160,7 +167,7 @@ def boilerplate_lines(df: DataFrame, id_col: str, text_col: str, title_col: str,
     told = pages.where("size(keys) > 0").groupBy("site", _story(F.col("said"), F.col("keys")).alias("story")).agg(F.min("page").alias("page")).select("page")
     stories = cut_lineage(pages.select("page", "site", "keys", "said").join(told, "page", "left_semi"))
     per = stories.select("site", F.explode(F.array_distinct("keys")).alias("key")).groupBy("site", "key").agg(F.count(F.lit(1)).alias("k"))
-    sizes = stories.groupBy("site").agg(F.count(F.lit(1)).alias("n"))
+    sizes = cut_lineage(stories.groupBy("site").agg(F.count(F.lit(1)).alias("n")))
     hosts = per.where(F.col("site").isNotNull() & (F.col("k") >= least_pages)).join(sizes, "site").where(F.col("k") >= F.col("n") * 2.0**-host_bits).groupBy("site").agg(F.collect_set("key").alias("common"))
     hosts = cut_lineage(hosts)
     own = F.coalesce("common", F.array().cast("array<bigint>"))
@@ -183,65 +190,103 @@ def boilerplate_lines(df: DataFrame, id_col: str, text_col: str, title_col: str,
                 seen = np.isin(p["keys"], known.value) | (np.isin(p["keys"], own.to_numpy()) if own is not None else False)
                 out.append(p["flags"] | np.where(seen & ((p["flags"] & HEADLINE) == 0), COMMON, 0).astype(np.int32))
             flags = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(f) for f in out])]).astype(np.int32)), pa.array(np.concatenate(out) if out else np.empty(0, np.int32)))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("id", "once", *lines[:4])), flags], names=["id", "once", *lines])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("id", "site", "once", *lines[:4])), flags], names=["id", "site", "once", *lines])
 
-    marked = pages.join(first.withColumn("once", F.lit(True)), "page", "left").join(hosts, "site", "left")
-    marked = cut_lineage(marked.select("id", "once", *lines, "common").mapInArrow(mark, f"id {types['id']}, once boolean, {_FEATURES}"))
-    counted = marked.where("once")
+    # once: 1 for pages that stand for a story on their host, 2 for those that do so in the corpus
+    counts = stories.select("page").join(first.withColumn("once", F.lit(2)), "page", "left").select("page", F.coalesce("once", F.lit(1)).alias("once"))
+    marked = pages.join(counts, "page", "left").join(hosts, "site", "left")
+    marked = cut_lineage(marked.select("id", "site", "once", *lines, "common").mapInArrow(mark, f"id {types['id']}, site string, once int, {_FEATURES}"))
+    counted = marked.where("once >= 1")
 
     # branches: what share of the page's paragraphs follows a boilerplate node
     def following(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, list[float]] = defaultdict(lambda: [0, 0.0])
+        sums: dict[tuple[str | None, int], list[float]] = defaultdict(lambda: [0, 0.0, 0, 0.0])
         for b in batches:
-            for _, p in _pages(b):
+            sites, onces = b.column("site").to_pylist(), b.column("once").to_pylist()
+            for i, p in _pages(b):
                 text = (p["flags"] & (SENTENCE | COMMON | HEADLINE | PATH)) == SENTENCE
                 if text.sum() >= 3:
                     after = 1 - np.cumsum(text) / text.sum()
                     at = np.flatnonzero(p["flags"] & COMMON)
+                    first = onces[i] == 2
                     for k, a in zip(p["keys"][at].tolist(), after[at].tolist()):
-                        s = sums[k]
+                        s = sums[sites[i], k]
                         s[0] += 1
                         s[1] += a
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([int(s[0]) for s in sums.values()], pa.int64()), pa.array([s[1] for s in sums.values()], pa.float64())], names=["key", "n", "after"])
-
-    least = max(5, total // 2000)
-    ends = counted.mapInArrow(following, "key long, n long, after double").groupBy("key").agg(F.sum("n").alias("n"), F.sum("after").alias("after"))
-    ends = ends.where((F.col("n") >= least) & (F.col("after") <= F.col("n") * follow))
-    opens = spark.sparkContext.broadcast(np.array(sorted(r["key"] for r in ends.select("key").collect()), np.int64))
-
-    def branch_of(p: dict[str, np.ndarray]) -> np.ndarray:
-        return np.isin(p["keys"], opens.value) & ((p["flags"] & COMMON) > 0)
+                        if first:
+                            s[2] += 1
+                            s[3] += a
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in sums], pa.string()), pa.array([k[1] for k in sums], pa.int64()), *(pa.array([s[c] for s in sums.values()], pa.float64()) for c in range(4))], names=["site", "key", "n", "after", "all_n", "all_after"])
+
+    least = max(FEW_ENDS, total // 2000)
+    ends = counted.mapInArrow(following, "site string, key long, n double, after double, all_n double, all_after double").groupBy("site", "key").agg(*(F.sum(c).alias(c) for c in ("n", "after", "all_n", "all_after")))
+    ends = cut_lineage(ends)
+    general = ends.groupBy("key").agg(F.sum("all_n").alias("all_n"), F.sum("all_after").alias("all_after")).where(F.col("all_n") >= least).select("key", (F.col("all_after") / F.col("all_n")).alias("usual"))
+    general = cut_lineage(general)
+    opens = spark.sparkContext.broadcast(np.array(sorted(r["key"] for r in general.where(F.col("usual") <= follow).select("key").collect()), np.int64))
+    own_ends = ends.select("site", "key", "n", "after").where("site IS NOT NULL").join(sizes.select("site", F.col("n").alias("pages")), "site")
+    own_ends = own_ends.where((F.col("n") >= FEW_ENDS) & (F.col("n") >= F.col("pages") / 2000)).join(F.broadcast(general), "key", "left")
+    mean = (F.col("after") + FEW_ENDS * F.coalesce("usual", F.col("after") / F.col("n"))) / (F.col("n") + FEW_ENDS)
+    own_ends = cut_lineage(own_ends.groupBy("site").agg(F.collect_list(F.when(mean <= follow, F.col("key"))).alias("opening"), F.collect_list(F.when(mean > follow, F.col("key"))).alias("closed")))
+
+    def branch_of(p: dict[str, np.ndarray], opening: pa.ListScalar, closed: pa.ListScalar) -> np.ndarray:
+        branch = np.isin(p["keys"], opens.value)
+        if closed.values is not None:
+            branch = (branch & ~np.isin(p["keys"], closed.values.to_numpy())) | np.isin(p["keys"], opening.values.to_numpy())
+        return branch & ((p["flags"] & COMMON) > 0)
 
     # presentation nodes: how many of their lines stand above, between and below the paragraphs
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[tuple[bool, int], list[int]] = defaultdict(lambda: [0, 0, 0])
+        sums: dict[tuple[str | None, bool, int], list[int]] = defaultdict(lambda: [0, 0, 0, 0])
         for b in batches:
-            for _, p in _pages(b):
-                first, last, end = zones(p["flags"], branch_of(p))
+            sites, onces, opening, closed = b.column("site").to_pylist(), b.column("once").to_pylist(), b.column("opening"), b.column("closed")
+            for i, p in _pages(b):
+                site, corpus_wide = sites[i], onces[i] == 2
+                first, last, end = zones(p["flags"], branch_of(p, opening[i], closed[i]))
                 for j in range(end):
                     f = int(p["flags"][j])
                     if f & HEADLINE or f & (SENTENCE | COMMON | PATH) == SENTENCE:
                         continue
-                    z = 0 if j < first else 2 if j > last else 1
-                    sums[True, int(p["leads"][j])][z] += 1
-                    if not f & COMMON:
-                        sums[False, int(p["styles"][j])][z] += 1
+                    between = int(first <= j <= last)
+                    for node in ((site, True, int(p["leads"][j])), (site, False, int(p["styles"][j])))[: 1 if f & COMMON else 2]:
+                        s = sums[node]
+                        s[0] += 1
+                        s[1] += between
+                        if corpus_wide:
+                            s[2] += 1
+                            s[3] += between
         rows = list(sums.items())
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k, _ in rows], pa.bool_()), pa.array([k[1] for k, _ in rows], pa.int64()), *(pa.array([v[z] for _, v in rows], pa.int64()) for z in range(3))], names=["lead", "key", "above", "between", "below"])
-
-    places_df = counted.mapInArrow(places, "lead boolean, key long, above long, between long, below long")
-    nodes = places_df.groupBy("lead", "key").agg(*(F.sum(c).alias(c) for c in ("above", "between", "below"))).withColumn("n", F.expr("above + between + below")).where(F.col("n") >= max(8, total // 2000))
-    styles: tuple[dict[int, tuple[float, int]], dict[int, tuple[float, int]]] = ({}, {})
-    for r in nodes.collect():  # each is on at least one in 2000 pages
-        styles[int(r["lead"])][r["key"]] = (r["between"] / r["n"], r["n"])
-    shared = spark.sparkContext.broadcast((styles, max(8, total // 500)))
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k, _ in rows], pa.string()), pa.array([k[1] for k, _ in rows], pa.bool_()), pa.array([k[2] for k, _ in rows], pa.int64()), *(pa.array([v[c] for _, v in rows], pa.int64()) for c in range(4))], names=["site", "lead", "key", "n", "between", "all_n", "all_between"])
+
+    places_df = counted.join(own_ends, "site", "left").mapInArrow(places, "site string, lead boolean, key long, n long, between long, all_n long, all_between long")
+    nodes = cut_lineage(places_df.groupBy("site", "lead", "key").agg(*(F.sum(c).alias(c) for c in ("n", "between", "all_n", "all_between"))))
+    usual = nodes.groupBy("lead", "key").agg(F.sum("all_n").alias("all_n"), F.sum("all_between").alias("all_between")).where(F.col("all_n") >= max(FEW_LINES, total // 2000))
+    usual = cut_lineage(usual.select("lead", "key", "all_n", (F.col("all_between") / F.col("all_n")).alias("usual")))
+    styles: tuple[dict[int, int], dict[int, int]] = ({}, {})  # 0: stands between paragraphs; 1: seldom; 2: seldom, and often met
+    often = max(FEW_LINES, total // 500)
+    for r in usual.collect():  # each is on at least one in 2000 pages
+        styles[int(r["lead"])][r["key"]] = (2 if r["all_n"] >= often else 1) if r["usual"] < seldom else 0
+    shared = spark.sparkContext.broadcast(styles)
+    own = nodes.select("site", "lead", "key", "n", "between").where(F.col("site").isNotNull() & (F.col("n") >= FEW_LINES)).join(sizes.select("site", F.col("n").alias("pages")), "site")
+    own = own.where(F.col("n") >= F.col("pages") / 500).join(F.broadcast(usual), ["lead", "key"], "left")
+    share = (F.col("between") + FEW_LINES * F.coalesce("usual", F.col("between") / F.col("n"))) / (F.col("n") + FEW_LINES)
+    own_styles = own.groupBy("site").agg(*(F.collect_list(F.when((F.col("lead") == lead) & ((share < seldom) == low), F.col("key"))).alias(f"{'low' if low else 'fine'}_{'leads' if lead else 'styles'}") for lead in (False, True) for low in (False, True)))
+    verdicts = ["fine_styles", "low_styles", "fine_leads", "low_leads"]
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (by_style, by_lead), often = shared.value
+        by_style, by_lead = shared.value
+        of: dict[str | None, tuple[dict[int, int], dict[int, int]]] = {}
         for b in batches:
             out = []
-            for _, p in _pages(b):
-                first, last, end = zones(p["flags"], branch_of(p))
+            sites, opening, closed, said = b.column("site").to_pylist(), b.column("opening"), b.column("closed"), [b.column(c) for c in verdicts]
+            for i, p in _pages(b):
+                if sites[i] not in of:
+                    if len(of) >= 100:
+                        of.clear()
+                    fine, low, fine_lead, low_lead = (c[i].as_py() or [] for c in said)
+                    of[sites[i]] = ({**dict.fromkeys(fine, 0), **dict.fromkeys(low, 2)}, {**dict.fromkeys(fine_lead, 0), **dict.fromkeys(low_lead, 2)})
+                host_style, host_lead = of[sites[i]]
+                first, last, end = zones(p["flags"], branch_of(p, opening[i], closed[i]))
                 gone = []
                 for j, (no, f) in enumerate(zip(p["nos"].tolist(), p["flags"].tolist())):
                     if j >= end or f & COMMON:
@@ -249,15 +294,16 @@ def boilerplate_lines(df: DataFrame, id_col: str, text_col: str, title_col: str,
                     elif f & HEADLINE or first <= j <= last:
                         continue
                     else:
-                        style = by_style.get(int(p["styles"][j])) or by_lead.get(int(p["leads"][j]))
+                        lead, style = int(p["leads"][j]), int(p["styles"][j])
+                        lead = host_lead.get(lead, by_lead.get(lead))
+                        style = host_style.get(style, by_style.get(style, lead))
                         if j < first:
-                            lead = by_lead.get(int(p["leads"][j]))
-                            rare = any(s is not None and s[1] >= often and s[0] < seldom for s in (style, lead))
-                            if f & PATH or rare:
+                            if f & PATH or style == 2 or lead == 2:
                                 gone.append(no)
-                        elif style is None or style[0] < seldom:
+                        elif style != 0:
                             gone.append(no)
                 out.append(gone)
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(out, pa.list_(pa.int64()))], names=["id", "gone"])
 
-    return marked.mapInArrow(judge, f"id {types['id']}, gone array<bigint>").select("id", F.explode("gone").alias("line_no"))
+    judged = marked.join(own_ends, "site", "left").join(own_styles, "site", "left")
+    return judged.mapInArrow(judge, f"id {types['id']}, gone array<bigint>").select("id", F.explode("gone").alias("line_no"))
