@@ -44,6 +44,18 @@ def test_repeated_lines_match_the_definition(spark):
     assert repeated_lines(df.limit(0), "eid", "body", site_of(F.col("dom")), "at").count() == 0
 
 
+def test_repeated_lines_of_small_tables(spark):
+    def table(own, others):
+        word = lambda i: chr(97 + i % 26) + chr(97 + i // 26 % 26)
+        rows = [(f"a{i:03d}", "a.example", ("Five times\n" if i < 5 else "Four times\n" if i < 9 else "") + f"Line {word(i)} alone") for i in range(own)]
+        rows += [(f"b{i:03d}", f"{word(i % 20)}.example", f"Other line {word(i)}") for i in range(others)]
+        return spark.createDataFrame(rows, "eid string, dom string, body string")
+
+    for own, others in ((51, 102), (100, 200), (60, 0)):  # a third of 153 and of 300 records, and one site alone
+        got = {tuple(r) for r in repeated_lines(table(own, others), "eid", "body", site_of(F.col("dom"))).collect()}
+        assert got == {(f"a{i:03d}", 1) for i in range(5 if own * 0.05 <= 5 else 0)}, (own, others, got)
+
+
 def test_main_body_is_kept(spark):
     df = pages(spark)
     found = boilerplate_lines(df, "eid", "body", "ttl", site_of(F.col("dom")), F.lit(None).cast("string"), "at", least_pages=3)

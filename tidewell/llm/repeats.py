@@ -5,7 +5,8 @@ within-source count is set against two outside rates by log-likelihood ratio: th
 and the rate of an ordinary line outside it. The second is needed because a line that every source repeats is no
 excess over other sources and yet has to go. The larger ratio counts, and Benjamini-Hochberg over all hypotheses sets
 the bar. Significant lines that also reach `min_records` and `min_share` of the source's records are the excess
-lines. Documents lose them by an anti-join on line position and keep the order of the rest.
+lines. Where there is too little outside a source for even its least such line to reach the bar against an ordinary
+line's rate (one source alone, or small tables), the test says nothing, and the two exact floors decide. Documents lose them by an anti-join on line position and keep the order of the rest.
 
 Defined cases: rows with null id are left out; records of unknown source keep all their lines; null texts count as
 records without lines and stay null; blank lines are never removed; redelivered ids count once (the first by
@@ -65,10 +66,12 @@ def excess_lines(records: DataFrame, min_records: int, min_share: float, alpha:
     tests = often.join(totals, "key").join(F.broadcast(sizes) if sizes.count() <= 10_000 else sizes, "source")
     n2 = F.greatest(F.lit(n_all) - F.col("n1"), F.lit(1))
     own = log_likelihood(F.col("k1"), F.col("n1"), F.col("k") - F.col("k1"), n2)
-    usual = log_likelihood(F.col("k1"), F.col("n1"), F.least(F.lit(ordinary), n2 * 0.01), n2)
-    tests = cut_lineage(tests.select("source", "key", "k1", "n1", F.greatest(own, usual).alias("g")))
+    outside = F.least(F.lit(ordinary), n2 * 0.01)
+    usual = log_likelihood(F.col("k1"), F.col("n1"), outside, n2)
+    least = log_likelihood(F.greatest(F.lit(min_records), F.ceil(F.col("n1") * min_share - 1e-9)), F.col("n1"), outside, n2)
+    tests = cut_lineage(tests.select("source", "key", "k1", "n1", F.greatest(own, usual).alias("g"), least.alias("least")))
     bar = _bar(tests, m, alpha)
-    kept = tests.where((F.col("g") >= bar) & (F.col("k1") >= F.col("n1") * min_share - 1e-9))
+    kept = tests.where(((F.col("g") >= bar) | (F.col("least") < bar)) & (F.col("k1") >= F.col("n1") * min_share - 1e-9))
     return kept.groupBy("source").agg(F.collect_set("key").alias("excess"))
 
 
