@@ -29,3 +29,10 @@ def test_distances():
 def test_cleaning(spark):
     df = spark.createDataFrame([("「涉事的枫桥区教育局」方面",), ("枫桥区·教育局(回复)",)], "v string")
     assert [r[0] for r in df.select(cleaned(F.col("v"))).collect()] == ["枫桥区教育局", "枫桥区教育局"]
+
+
+def test_two_cheap_edits_are_found(spark):
+    values = {"柚桥曲较育局": 2, "柚桥区教教育育局": 2, "柚桥区教教育菊": 2, "柚桥曲较较育局": 0, "柚桥曲教育处": 0}
+    df = spark.createDataFrame([("k", v, 1, v) for v in values], "kind string, id string, pos long, value string")
+    ref = spark.createDataFrame(REFERENCE, "ref_id long, canonical_name string")
+    assert {r["value"]: r["ref_id"] for r in map_to_reference(df, ref, "ref_id", "canonical_name").collect()} == values

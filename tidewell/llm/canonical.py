@@ -2,8 +2,8 @@
 
 Each reference entry has spelled-out variants (ALIASES gives the short forms of its words; place names may lose their
 suffix or be left out). A symmetric-delete dictionary holds every variant and every variant with one character taken
-out; a value, cleaned of wrappers, meets it by itself and by its own one-character deletions. Candidates that share a
-deletion are ranked by weighted Damerau-Levenshtein distance: a doubled character, a swap of neighbours, a letter of
+out; a value, cleaned of wrappers, meets it by itself and by its own one-character deletions. Two edits within the limit
+are doubled or look-alike characters, so both sides also have a key with those folded. Candidates that share a key are ranked by weighted Damerau-Levenshtein distance: a doubled character, a swap of neighbours, a letter of
 the same sound or shape and a lost character are cheap, any other change is too dear to match, as another place or
 body is often one character away. Ties go to the entry that exact values name most often; what is left is a miss.
 
@@ -96,6 +96,12 @@ def deletions(value: Column) -> Column:
     return F.when(n > 0, F.array_distinct(F.concat(F.array(value), less)))
 
 
+def keys_of(value: Column) -> Column:
+    """The deletions, and the value with runs of a character and characters of one sound or shape as one."""
+    folded = F.translate(value, "".join(s[1] for s in ALIKE), "".join(s[0] for s in ALIKE))
+    return F.concat(deletions(value), F.array(F.concat(F.lit("\x01"), F.regexp_replace(folded, "(.)\\1+", "$1"))))
+
+
 def weighted_distance(value: str, alias: str) -> float:
     """Weighted Damerau-Levenshtein distance from a reference form to a typed value."""
     n, m = len(value), len(alias)
@@ -124,8 +130,8 @@ def match_forms(forms: DataFrame, reference: DataFrame, id_col: str, name_col: s
     listed = reference.select(F.col(id_col).cast("long").alias("ref_id"), F.col(name_col).alias("name")).where("ref_id IS NOT NULL AND name IS NOT NULL")
     small = listed.limit(BROADCAST_ENTRIES + 1).count() <= BROADCAST_ENTRIES
     aliases = listed.mapInArrow(_alias_rows, "ref_id long, alias string")
-    keyed = aliases.select("ref_id", "alias", F.explode(deletions(F.col("alias"))).alias("key"))
-    asked = forms.select("form", F.explode(deletions(F.col("form"))).alias("key"))
+    keyed = aliases.select("ref_id", "alias", F.explode(keys_of(F.col("alias"))).alias("key"))
+    asked = forms.select("form", F.explode(keys_of(F.col("form"))).alias("key"))
     pairs = asked.join(F.broadcast(keyed) if small else keyed, "key").select("form", "alias", "ref_id").distinct()
     costs = cut_lineage(pairs.mapInArrow(_weigh, "form string, ref_id long, cost double").where(F.col("cost") <= LIMIT).groupBy("form", "ref_id").agg(F.min("cost").alias("cost")))
     exact = costs.where("cost = 0").join(forms, "form").groupBy("ref_id").agg(F.sum("n").alias("named"))
