@@ -104,6 +104,19 @@ def test_a_small_host_is_judged_alike_in_a_large_table(spark):
     assert of[0] == of[1] == {(f"t{i}", n) for i in range(7) for n in (1, 3, 4, 9, 10)}
 
 
+def test_path_after_a_long_menu(spark):
+    rows = []
+    for i in range(20):
+        w = chr(97 + i) + "ox"
+        menu = "\n".join(f"Menu item {chr(97 + k)}" for k in range(14))
+        body = "\n".join(f"Paragraph {k} of story {w} ends here." for k in ("one", "two", "three"))
+        lead = ("Front", "Start", "Main", "Top", "Here")[i % 5]
+        rows.append((f"m{i}", "menu.example", f"Title {w} of the day", f"{menu}\n{lead}/{w}/Title {w} of the day\nTitle {w} of the day\n{body}", i))
+    df = spark.createDataFrame(rows, "eid string, dom string, ttl string, body string, at int")
+    found = boilerplate_lines(df, "eid", "body", "ttl", site_of(F.col("dom")), F.lit(None).cast("string"), "at")
+    assert {(r["id"], r["line_no"]) for r in found.collect()} == {(f"m{i}", n) for i in range(20) for n in range(1, 16)}
+
+
 def test_page_lines():
     assert form_of("　Ａ １２ b 34") == "A0b0"
     assert is_headline("城区停水通知(更新)", "城区停水通知") and not is_headline("首页/城区停水通知", "城区停水通知")

@@ -46,7 +46,9 @@ from pyspark.sql import functions as F
 from tidewell.llm.lines import BLANK, once
 from tidewell.session import cut_lineage, spread
 
-SENTENCE, HEADLINE, PATH, COMMON = 1, 2, 4, 8
+SENTENCE, HEADLINE, PATH, COMMON, LATE_PATH = 1, 2, 4, 8, 16
+#: Lines at the top of a page in which a path is none of the paragraphs; further down it is one only above the first of them.
+TOP = 12
 #: So often, at least, a host has what it judges itself: branch openers and lines of a style.
 FEW_ENDS, FEW_LINES = 5, 8
 #: Pages that agree in so many of their longest sentences tell the same story.
@@ -107,13 +109,15 @@ def page_lines(text: str | None, title: str | None, name: str | None) -> tuple[l
         leads.append(_hash(lead))
         styles.append(_hash((lead if word else masked[:3]) + "|" + shape))
         flags.append(flag)
-    top = [f for f in forms[:12] if 8 <= len(f) <= 120]
-    for i, f in enumerate(forms[:12]):  # a path holds the headline, whether or not the title is known
+    top = [f for f in forms if 8 <= len(f) <= 120]
+    for i, f in enumerate(forms):  # a path holds the headline, whether or not the title is known
+        if len(f) > 200 or not (steps := len(_STEPS.findall(f))):
+            continue
         for g in top:
-            if g in f and g != f and len(_STEPS.findall(f)) > len(_STEPS.findall(g)) and len(f) <= 200:
-                flags[i] |= PATH
+            if g in f and g != f and steps > len(_STEPS.findall(g)):
+                flags[i] |= PATH if i < TOP and g in forms[:TOP] else LATE_PATH
                 break
-    said = {k: len(f) for k, f, flag in zip(keys, forms, flags) if flag & (SENTENCE | HEADLINE | PATH) == SENTENCE}
+    said = {k: len(f) for k, f, flag in zip(keys, forms, flags) if flag & (SENTENCE | HEADLINE | PATH | LATE_PATH) == SENTENCE}
     return nos, keys, styles, leads, flags, sorted(said, key=lambda k: (-said[k], k))
 
 
@@ -146,6 +150,8 @@ def zones(flags: np.ndarray, branch: np.ndarray) -> tuple[int, int, int]:
     """(first paragraph, last paragraph, start of the low importance branch) of a page; no paragraph: (end, -1, end)."""
     end = int(np.argmax(branch)) if branch.any() else len(flags)
     text = np.flatnonzero((flags[:end] & (SENTENCE | COMMON | HEADLINE | PATH)) == SENTENCE)
+    late = (flags[text] & LATE_PATH) > 0
+    text = text[int(np.argmin(late)) :] if not late.all() else text[:0]  # paths above the first paragraph
     return (int(text[0]), int(text[-1]), end) if len(text) else (end, -1, end)
 
 
@@ -298,7 +304,7 @@ def boilerplate_lines(df: DataFrame, id_col: str, text_col: str, title_col: str,
                         lead = host_lead.get(lead, by_lead.get(lead))
                         style = host_style.get(style, by_style.get(style, lead))
                         if j < first:
-                            if f & PATH or style == 2 or lead == 2:
+                            if f & (PATH | LATE_PATH) or style == 2 or lead == 2:
                                 gone.append(no)
                         elif style != 0:
                             gone.append(no)
