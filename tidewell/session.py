@@ -42,7 +42,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Write df to the shared checkpoint folder and read it from there, so that losing an executor loses nothing."""
+    """Write df to the shared checkpoint folder and read it from there, so that losing an executor loses nothing.
+
+    A checkpoint keeps the planner's estimate of df's size, which each join multiplies: loops use `written` instead.
+    """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=eager)
 
@@ -57,7 +60,16 @@ def written(df: DataFrame) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._tidewell_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Remove the table of a DataFrame that `written` gave and that nothing reads any more, such as a loop's last round."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df._tidewell_path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def spread(df: DataFrame) -> DataFrame:
