@@ -1,7 +1,9 @@
 import itertools
 import random
 
-from tidewell.llm.nearduplicates import classes_of, near_duplicates, run_hashes, signatures
+import numpy as np
+
+from tidewell.llm.nearduplicates import _class_pairs, bodies_of, classes_of, near_duplicate_groups, near_duplicates, signatures, sketches
 
 
 def similarity(a, b):
@@ -38,9 +40,45 @@ def test_signatures_estimate_similarity():
     rng = random.Random(1)
     a = "".join(rng.choice("abcdefgh") for _ in range(900))
     b = a[:600] + "".join(rng.choice("abcdefgh") for _ in range(300))
-    s = signatures([run_hashes(a), run_hashes(b)], 512)
+    s = signatures(*bodies_of([None, None], [a, b]), 512)
     assert abs((s[0] == s[1]).mean() - similarity(a, b)) < 0.1
-    assert (signatures([run_hashes("abcdef")], 64) != 2**64 - 1).all()
+    bits = np.bitwise_count(np.bitwise_xor(*sketches(s))).sum()
+    assert abs(1 - bits / 128 - similarity(a, b)) < 0.25
+    assert (signatures(*bodies_of([None], ["abcdef"]), 64) != 2**64 - 1).all()
+
+
+def test_bodies_drop_blanks_and_empty_texts():
+    codes, lengths = bodies_of(["t", None, "x", "\u00a0"], [" a\tb\n", None, "", "\u3000\r"])
+    assert "".join(map(chr, codes)) == "tab" and lengths.tolist() == [3, 0, 0, 0]
+
+
+def test_a_chained_class_of_thousands_keeps_every_pair(spark):
+    rng = random.Random(3)
+    whole = "".join(rng.choice("abcdefghijklmnopqrst") for _ in range(40 * 3000 + 400))
+    rows = [(f"d{i:05d}", None, whole[40 * i : 40 * i + 400]) for i in range(3000)]
+    got = {tuple(r) for r in near_duplicates(spark.createDataFrame(rows, "id string, title string, text string"), "id", "title", "text", None, 0.6).collect()}
+    want = {(rows[i][0], rows[j][0]) for i in range(3000) for j in (i + 1, i + 2) if j < 3000}  # similarity 0.82 and 0.66; the next is 0.53
+    assert not got - want and len(got) >= 0.99 * len(want)
+
+
+def test_a_class_of_5000_is_compared_in_blocks(spark):
+    # one class of 5,000 nodes with random sketches, save 100 pairs of equal ones: no other pair leaves the join
+    rng = np.random.default_rng(5)
+    words = rng.integers(-(2**63), 2**63 - 1, (5000, 4))
+    words[100:200] = words[:100]
+    rows = [(i, *map(int, w)) for i, w in enumerate(words)]
+    known = spark.createDataFrame(rows, "node long, s0 long, s1 long, s2 long, s3 long")
+    labels = known.selectExpr("node AS rid", "0L AS class")
+    done = spark.createDataFrame([(0, 100)], "a long, b long")
+    assert {tuple(r) for r in _class_pairs(labels, known, done, 60).collect()} == {(i, i + 100) for i in range(1, 100)}
+
+
+def test_copies_are_one_text_in_groups(spark):
+    rows = [(f"h{i}", None, "the same text in very many places " * 3) for i in range(1500)] + [("z", "t", "another text that is not like it"), ("n", None, None)]
+    df = spark.createDataFrame(rows, "id string, title string, text string")
+    out = {r["id"]: (r["group_id"], r["n_links"]) for r in near_duplicate_groups(df, "id", "title", "text", None, 0.6).collect()}
+    assert len(out) == 1501 and out["z"] == ("z", 0) and {v for k, v in out.items() if k != "z"} == {("h0", 0)}
+    assert near_duplicates(df, "id", "title", "text", None, 0.6).count() == 1500 * 1499 // 2
 
 
 def test_components(spark):

@@ -11,7 +11,7 @@ from tidewell.llm.boilerplate import boilerplate_lines
 from tidewell.llm.canonical import map_to_reference, misses
 from tidewell.llm.lines import NARROW, WIDE, once, site_of
 from tidewell.llm.lookalike import canonical_texts, lookalike_pairs
-from tidewell.llm.nearduplicates import near_duplicates
+from tidewell.llm.nearduplicates import near_duplicate_groups, near_duplicates
 from tidewell.llm.packing import pack
 from tidewell.llm.repeats import repeated_lines, without_lines
 from tidewell.llm.tokenize import encode_texts
@@ -61,6 +61,11 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnsRenamed({"id_a": "evidence_id_a", "id_b": "evidence_id_b"})
 
 
+def p6_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every record with a text, its group of nearly equal records, and how many other texts it is near to."""
+    return near_duplicate_groups(table(spark, sf_dir, EVIDENCE), "evidence_id", "title", "text", "ingested_at", 0.6).withColumnRenamed("id", "evidence_id")
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's token ids; empty list for empty and null text."""
     return encode_texts(table(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
@@ -149,6 +154,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_found": p5_found,
     "p5_rates": p5_rates,
     "p6_found": p6_found,
+    "p6_groups": p6_groups,
     "p7_ids": p7_ids,
     "p8_containers": p8_containers,
     "p9_found": p9_found,
