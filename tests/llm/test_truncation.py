@@ -1,4 +1,9 @@
-from tidewell.llm.truncation import is_closed, is_open, stem_of, truncated, truncation_rates
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from tidewell.llm.truncation import goes_on, is_closed, is_open, judged_values, longer_copies, stem, stem_of, truncated, truncation_rates
 
 ACTIONS = ["公开全部票据", "召开听证会", "恢复原有线路", "延长公示时间"]
 
@@ -30,3 +35,42 @@ def test_cases(spark):
 def test_ends():
     assert stem_of("说明… ") == ("说明", True) and stem_of("说明 ") == ("说明", False)
     assert is_closed("他说：“好。”") and not is_closed("他说：“好”") and is_open("abc,") and not is_open("Done.")
+
+
+@pytest.mark.parametrize("marks", ["-" * 10_000, "." * 10_000, " \u3000" * 5_000, "-… ." * 2_500, "…-" * 5_000])
+def test_long_runs_of_marks_end(spark, marks):
+    df = spark.createDataFrame([("c", "a", "o", "要求尽快公开" + marks, "m", None), ("c", "b", "o", "要求" + marks + "b", "m", None)], "kind string, id string, field string, value string, grp string, ref string")
+    assert truncated(df).count() <= 2
+    assert stem_of("a" + marks + "b")[0] == "a" + marks + "b" and stem_of("要求尽快公开" + marks)[0].startswith("要求尽快公开")
+
+
+def test_stems_agree_with_columns(spark):
+    values = ["说明… ", "说明。", "a.", "a..", "a. .", "a…. -", ".", "..", "", " ", "a.b", "a.\n..", "x�~", "1. 2.-"]
+    df = spark.createDataFrame([(v,) for v in values], "v string").select("v", stem(F.col("v")).alias("s"))
+    assert {r["v"]: r["s"] for r in df.collect()} == {v: stem_of(v)[0] for v in values}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_longer_copies_across_partitions(spark, seed):
+    """Against all pairs; most stems share their beginning, so that they lie across the ends of partitions."""
+    rng = random.Random(seed)
+    stems = {("f" if rng.random() < 0.8 else "g", "ab" * rng.randint(0, 2) + "".join(rng.choice("ab，。 .") for _ in range(rng.randint(1, 5)))) for _ in range(400)}
+    rows = [(f, s, rng.random() < 0.6) for f, s in sorted(stems)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    got = {(r["field"], r["stem"]): r["kinds"] for r in longer_copies(spark.createDataFrame(rows, "field string, stem string, asked boolean")).collect()}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    want = {}
+    for f, s, asked in rows:
+        if asked:
+            want[f, s] = 0
+            for g, t, _ in rows:
+                if g == f and t != s and t.startswith(s):
+                    want[f, s] |= goes_on(t, len(s))
+    wrong = {k for k in want if got[k] != want[k] and not k[1].endswith(".")}  # open stems end in no dot
+    assert got.keys() == want.keys() and not wrong
+
+
+def test_paths(spark):
+    rows = values() + [("c", "t1", "opinion", "要求尽快公开全", "m", None), ("c", "t2", "opinion", "要求尽快公开…", "m", None), ("c", "k1", "opinion", "要求尽快公开全部票据", "m", None)]
+    out = judged_values(spark.createDataFrame(rows, "kind string, id string, field string, value string, grp string, ref string"))
+    assert {r["id"]: (r["path"], r["cut"]) for r in out.collect()} == {"t1": ("prefix", True), "t2": ("marks", True), "k1": ("prefix", False)}

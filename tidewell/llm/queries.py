@@ -15,7 +15,7 @@ from tidewell.llm.nearduplicates import near_duplicate_groups, near_duplicates
 from tidewell.llm.packing import pack
 from tidewell.llm.repeats import repeated_lines, without_lines
 from tidewell.llm.tokenize import encode_texts
-from tidewell.llm.truncation import truncated, truncation_rates
+from tidewell.llm.truncation import judged_values, truncated, truncation_rates
 from tidewell.session import cut_lineage
 from tidewell.sources.tables import table
 
@@ -135,6 +135,12 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("kind").alias("record_kind"), F.col("id").alias("record_id"), F.col("field").alias("field_name"))
 
 
+def p5_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many open values of each field each path judged, and how many of these it found cut."""
+    judged = judged_values(_statements(spark, sf_dir), _sources(spark, sf_dir))
+    return judged.groupBy("field", "path").agg(F.count(F.lit(1)).alias("n_open"), F.count_if("cut").alias("n_cut"))
+
+
 def p5_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often each model's statements, and each site's excerpts, are cut."""
     values = _statements(spark, sf_dir)
@@ -153,6 +159,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_misses": p4_misses,
     "p5_found": p5_found,
     "p5_rates": p5_rates,
+    "p5_paths": p5_paths,
     "p6_found": p6_found,
     "p6_groups": p6_groups,
     "p7_ids": p7_ids,
