@@ -41,3 +41,14 @@ def test_em_learns_the_order_of_a_source(spark):
     got = {r["id"]: r for r in normalise_moments(frame(spark, rows)).where("id IN ('x', 'y')").collect()}
     assert got["x"]["utc_second"] == at(2023, 2, 3, 9) and got["y"]["utc_second"] == at(2023, 3, 2, 9)
     assert got["x"]["order_posterior"] > 0.99
+
+
+def test_the_mixture_decides(spark):
+    """Without EM, no value that reads in two orders comes out; with it, sources with a declared order, or with values that tell it, do."""
+    rows = [("k", "p", "03/02/2023 10:00:00", "declared", BERLIN, "dmy"), ("k", "q", "11/11/2023 10:00:00", "none", BERLIN, None), ("k", "r", "04/05/06 10:00:00", "short", BERLIN, None), ("k", "s", "20122010", "none", BERLIN, None)]
+    rows += [("k", f"n{i}", f"25/1{i % 3}/{90 + i % 10} 10:00:00", "short", BERLIN, None) for i in range(300)]
+    on = {r["id"]: r for r in normalise_moments(frame(spark, rows)).collect()}
+    off = {r["id"]: r for r in normalise_moments(frame(spark, rows), rounds=0).collect()}
+    assert {i: on[i]["utc_second"] for i in "pqrs"} == {"p": at(2023, 2, 3, 9), "q": at(2023, 11, 11, 9), "r": at(2006, 5, 4, 8), "s": at(2010, 12, 19, 23)}
+    assert (on["p"]["order_by"], on["s"]["order_by"]) == ("mixture", "form")
+    assert off["p"]["status"] == off["r"]["status"] == "ambiguous_order" and off["q"]["status"] == off["s"]["status"] == "ok"

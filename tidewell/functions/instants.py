@@ -18,7 +18,7 @@ _ZONE = r"(?: ?(Z|[+-]\d{2}:?\d{2}|[A-Z]{2,5}|[A-Z][A-Za-z_]+(?:/[A-Za-z0-9_+-]+
 _MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
 
 YEAR_FIRST = rf"^(\d{{4}})([-/.])(\d{{1,2}})\2(\d{{1,2}})(?:(?:T| ){_CLOCK}{_ZONE})?$"
-YEAR_LAST = rf"^(\d{{1,2}})([-/.])(\d{{1,2}})\2(\d{{4}})(?:(?:T| ){_CLOCK}{_ZONE})?$"
+YEAR_LAST = rf"^(\d{{1,2}})([-/.])(\d{{1,2}})\2(\d{{4}}|\d{{2}})(?:(?:T| ){_CLOCK}{_ZONE})?$"
 MAIL = rf"^(?:[A-Za-z]{{3}}, ?)?(\d{{1,2}}) ([A-Za-z]{{3}}) (\d{{4}}) {_CLOCK}{_ZONE}$"
 C_TIME = r"^[A-Za-z]{3} ([A-Za-z]{3}) {1,2}(\d{1,2}) (\d{1,2}):(\d{2}):(\d{2})(?: ([A-Z]{2,5}))? (\d{4})$"
 HAN = r"^(\d{4})年(\d{1,2})月(\d{1,2})日 ?(?:(凌晨|早上|上午|中午|下午|晚上)? ?(\d{1,2})[时時点點:](\d{1,2})?(?:[分:](\d{1,2})?秒?)?)?$"
@@ -55,20 +55,20 @@ def _hour(hour: Column, half: Column) -> Column:
 def written(value: Column) -> Column:
     """struct<family, year, a, b, hour, minute, second, dated, zone, epoch> of a folded value; family null: no match.
 
-    a and b are month and day, save in the family `last`, where they are the two numbers in the order written.
+    a and b are month and day, save in the families `last` and `short`, where the numbers stand in the order a, b, year.
     dated: the value is a date alone. epoch: whole seconds since 1970 of a bare number.
     """
     v = value
 
-    def fields(family: str, y, a, b, h, mi, s, zone, dated, epoch=None) -> Column:
+    def fields(family: str | Column, y, a, b, h, mi, s, zone, dated, epoch=None) -> Column:
         null = F.lit(None)
         cast = lambda c, t: (null if c is None else c).cast(t)
         return F.struct(
-            F.lit(family).alias("family"), *(cast(c, "int").alias(n) for c, n in ((y, "year"), (a, "a"), (b, "b"), (h, "hour"), (mi, "minute"), (s, "second"))),
+            (F.lit(family) if isinstance(family, str) else family).alias("family"), *(cast(c, "int").alias(n) for c, n in ((y, "year"), (a, "a"), (b, "b"), (h, "hour"), (mi, "minute"), (s, "second"))),
             F.coalesce(dated, F.lit(False)).alias("dated"), cast(zone, "string").alias("zone"), cast(epoch, "long").alias("epoch"),
         )
 
-    def clocked(family: str, p: str, y: int, a: int, b: int, first: int, month_name: bool = False) -> Column:
+    def clocked(family: str | Column, p: str, y: int, a: int, b: int, first: int, month_name: bool = False) -> Column:
         h, half = _int(v, p, first), _part(v, p, first + 3)
         month = _month(_part(v, p, a)) if month_name else _int(v, p, a)
         return fields(family, _int(v, p, y), month, _int(v, p, b), _hour(h, half), _int(v, p, first + 1), F.coalesce(_int(v, p, first + 2), F.lit(0)), _part(v, p, first + 4), h.isNull())
@@ -80,7 +80,7 @@ def written(value: Column) -> Column:
     number = v.try_cast("long")
     return (
         F.when(v.rlike(YEAR_FIRST), clocked("first", YEAR_FIRST, 1, 3, 4, 5))
-        .when(v.rlike(YEAR_LAST), clocked("last", YEAR_LAST, 4, 1, 3, 5))
+        .when(v.rlike(YEAR_LAST), clocked(F.when(F.length(_part(v, YEAR_LAST, 4)) == 2, "short").otherwise("last"), YEAR_LAST, 4, 1, 3, 5))
         .when(v.rlike(MAIL), clocked("mail", MAIL, 3, 2, 1, 4, month_name=True))
         .when(v.rlike(C_TIME), c_time)
         .when(v.rlike(HAN), han)
@@ -96,6 +96,29 @@ def is_date(y: Column, m: Column, d: Column) -> Column:
     return F.coalesce((y >= 1) & (y <= 9999) & (m >= 1) & (m <= 12) & (d >= 1) & (d <= length), F.lit(False))
 
 
+def day_number(y: Column, m: Column, d: Column) -> Column:
+    """yyyymmdd of a day of the calendar, else null."""
+    return F.when(is_date(y, m, d), y * 10000 + m * 100 + d)
+
+
+def readings(w: dict[str, Column]) -> dict[str, Column]:
+    """The day that each order of its numbers gives a written moment, as yyyymmdd; null where the order gives none.
+
+    Two-digit years are of 1970 to 2069. Eight digits have their year at the end only where it can't stand at the front.
+    """
+    y, a, b, family = w["year"], w["a"], w["b"], w["family"]
+    full = lambda c: F.when(family == "short", F.when(c < 70, c + 2000).otherwise(c + 1900)).otherwise(c)
+    loose = family.isin("last", "short")
+    tail, lead, second = a * 100 + b, (y / 100).cast("int"), y % 100
+    front = day_number(y, a, b)
+    back = (family == "day") & front.isNull() & tail.between(1900, 2100)
+    return {
+        "ymd": F.when(family == "short", day_number(full(a), b, y)).when(~loose, front),
+        "dmy": F.when(loose, day_number(full(y), b, a)).when(back, day_number(tail, second, lead)),
+        "mdy": F.when(loose, day_number(full(y), a, b)).when(back, day_number(tail, lead, second)),
+    }
+
+
 def local_second(y: Column, m: Column, d: Column, h: Column, mi: Column, s: Column) -> Column:
     """Seconds since 1970 of local fields, as if they were UTC; null for impossible fields."""
     clock = F.coalesce((h >= 0) & (h <= 23) & (mi >= 0) & (mi <= 59) & (s >= 0) & (s <= 59), F.lit(False))

@@ -1,16 +1,20 @@
 """Normalising written moments to UTC by expectation-maximisation over format mixtures.
 
-Every value has one or more valid parses. Only values whose year comes last have more than one: day first or month
-first. Each source is a mixture of the two orders; EM over the source's counts (values valid day first only, month
-first only, both) gives the mixture, the E step sharing out the ambiguous values by the mixture's weights. A source's
-declared order is a prior of full weight. The posterior of a value picks its reading if it reaches `sure`; otherwise
-the value is marked ambiguous. Then the zone is resolved: an offset in the value, else a zone name in it, else an
-abbreviation that belongs to the place's zone, else the place's zone.
+Every value is read in each order of its numbers that gives a day of the calendar: year first, day first, month first.
+Values whose year comes last, or has two digits, or eight digits that can't begin with a year, have several. Each
+source is a mixture of the three orders for each family of such values. EM runs on the source's counts of values by the
+set of orders that are valid for them: the E step shares out each set by the mixture's weights, the M step counts. A
+declared order is a prior of DECLARED pseudo-counts, so it decides within its source unless the source has as many
+values that contradict it. A value's posterior over its readings, which comes from the mixture alone, picks the reading
+if it reaches `sure`; below, the value is marked ambiguous, and where the mixture makes all its readings impossible, it
+is marked so. Values without a source form one source for each kind.
+
+Then the zone is resolved: an offset in the value, else a zone name in it, else an abbreviation that belongs to the
+place's zone, else the place's zone.
 
 Statuses: ok, missing, unparsed, impossible, ambiguous_order, unknown_zone, skipped, repeated.
 
-Defined cases: null and blank values are missing; null sources share no mixture and rely on their declared order;
-redelivered ids are the caller's to fold; ties of the posterior are ambiguous; extra columns are not carried; an empty
+Defined cases: null and blank values are missing; redelivered ids are the caller's to fold; ties of the posterior are ambiguous; extra columns are not carried; an empty
 table gives an empty table.
 """
 
@@ -19,10 +23,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.functions.instants import fold, in_zone, is_date, local_second, offset_of, written, zone_abbreviations, zone_names
+from tidewell.functions.instants import fold, in_zone, local_second, offset_of, readings, written, zone_abbreviations, zone_names
 
-#: Iterations of EM; the two-component mixture over three counts converges geometrically.
+#: Iterations of EM; a mixture over seven counts converges geometrically.
 ROUNDS = 50
+#: Pseudo-counts of a declared order, and the share below which a mixture rules an order out.
+DECLARED, NEVER = 1e15, 1e-6
+ORDERS = ["ymd", "dmy", "mdy"]
 
 
 def computed(df: DataFrame, **columns: Column) -> DataFrame:
@@ -30,38 +37,54 @@ def computed(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select("*", F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
 
 
-def order_mixtures(parsed: DataFrame) -> DataFrame:
-    """(source, day_first): the weight of day-first among the source's values whose year comes last.
+def order_mixtures(parsed: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """(source, family, w_ymd, w_dmy, w_mdy): the weights of the orders in each family of a source.
 
-    parsed: (source, day_ok, month_ok). The counts are the sufficient statistics, so EM runs on one row for each source.
+    parsed: (source, family, date_order, valid), valid being a sum of 1, 2 and 4 for the orders. The counts by valid are
+    the sufficient statistics, so EM runs on one row for each source and family.
     """
-    one = lambda c: F.sum(F.when(c, 1).otherwise(0)).cast("double")
-    stats = parsed.groupBy("source").agg(one(F.col("day_ok") & ~F.col("month_ok")).alias("d"), one(F.col("month_ok") & ~F.col("day_ok")).alias("m"), one(F.col("day_ok") & F.col("month_ok")).alias("both"))
-    step = lambda w, _: (F.col("d") + F.col("both") * w + 0.5) / (F.col("d") + F.col("m") + F.col("both") + 1.0)
-    return stats.select("source", F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), F.lit(0.5), step).alias("day_first"))
+    sets = range(1, 8)
+    counts = [F.count_if(F.col("valid") == v).cast("double").alias(f"n{v}") for v in sets]
+    stats = parsed.groupBy("source", "family").agg(F.max("date_order").alias("declared"), *counts)
+    members = {v: [k for i, k in enumerate(ORDERS) if v >> i & 1] for v in sets}
+    prior = {k: F.when(F.col("declared") == k, F.lit(DECLARED)).otherwise(0.5) for k in ORDERS}
 
+    def step(w: Column, _: Column) -> Column:
+        total = {v: sum((w[k] for k in ks[1:]), w[ks[0]]) for v, ks in members.items()}
+        raw = {k: prior[k] + sum((F.col(f"n{v}") * w[k] / total[v] for v in sets if k in members[v]), F.lit(0.0)) for k in ORDERS}
+        n = raw["ymd"] + raw["dmy"] + raw["mdy"]
+        return F.struct(*((raw[k] / n).alias(k) for k in ORDERS))
 
-def normalise_moments(df: DataFrame, sure: float = 0.99) -> DataFrame:
-    """(kind, id, utc_second, status, order_posterior) of rows (kind, id, value, source, place_zone, date_order)."""
+    start = F.struct(*(F.lit(1 / 3).alias(k) for k in ORDERS))
+    fitted = stats.select("source", "family", F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, step).alias("w") if rounds else start.alias("w"))
+    return fitted.select("source", "family", *(F.col("w")[k].alias(f"w_{k}") for k in ORDERS))
+
+
+def normalise_moments(df: DataFrame, sure: float = 0.99, rounds: int = ROUNDS) -> DataFrame:
+    """(kind, id, utc_second, status, order_posterior, order_by) of rows (kind, id, value, source, place_zone, date_order).
+
+    order_by: `form` where the value has one reading, else `mixture`.
+    """
     spark = df.sparkSession
-    base = computed(df.select("kind", "id", "value", "source", "place_zone", "date_order"), v=fold(F.col("value")))
+    base = computed(df.select("kind", "id", "value", F.coalesce("source", F.concat(F.lit("\x00"), "kind")).alias("source"), "place_zone", "date_order"), v=fold(F.col("value")))
     base = computed(base, w=written(F.col("v"))).select("*", "w.*").drop("w", "value")
-    last = F.coalesce(F.col("family") == "last", F.lit(False))
-    base = computed(base, day_ok=last & is_date(F.col("year"), F.col("b"), F.col("a")), month_ok=last & is_date(F.col("year"), F.col("a"), F.col("b")))
-
-    mixtures = order_mixtures(base.where(last & F.col("source").isNotNull()).select("source", "day_ok", "month_ok"))
-    base = base.join(mixtures, "source", "left")
-    prior = F.when(F.col("date_order") == "dmy", 1.0).when(F.col("date_order") == "mdy", 0.0).otherwise(F.coalesce("day_first", F.lit(0.5)))
-    known = F.coalesce(F.col("date_order").isin("dmy", "mdy"), F.lit(False))
-    day_like = F.when(F.col("day_ok"), F.when(known, prior).otherwise(F.greatest(prior, F.lit(1e-9)))).otherwise(0.0)
-    month_like = F.when(F.col("month_ok"), F.when(known, 1 - prior).otherwise(F.greatest(1 - prior, F.lit(1e-9)))).otherwise(0.0)
-    base = computed(base, dl=day_like, ml=month_like)
-    # 11/11 reads the same either way
-    posterior = F.when(~last | ((F.col("a") == F.col("b")) & F.col("day_ok")), 1.0).when(F.col("dl") + F.col("ml") > 0, F.greatest("dl", "ml") / (F.col("dl") + F.col("ml")))
-    swap = last & (F.col("dl") > F.col("ml"))
-    month, day = F.when(swap, F.col("b")).otherwise(F.col("a")), F.when(swap, F.col("a")).otherwise(F.col("b"))
+    base = computed(base, **readings({c: F.col(c) for c in ("family", "year", "a", "b")}))
+    base = computed(base, valid=sum((F.when(F.col(k).isNotNull(), 1 << i).otherwise(0) for i, k in enumerate(ORDERS)), F.lit(0)))
+    loose = F.coalesce(F.col("family").isin("last", "short"), F.lit(False))
+
+    mixtures = order_mixtures(base.where(loose & (F.col("valid") > 0)).select("source", "family", "date_order", "valid"), rounds)
+    base = base.join(mixtures, ["source", "family"], "left")
+    # of a loose value each valid reading is as likely as its order is in the source; others have one reading
+    like = {k: F.when(F.col(k).isNotNull(), F.when(loose, F.col(f"w_{k}")).otherwise(1.0)).otherwise(0.0) for k in ORDERS}
+    base = computed(base, **{f"l_{k}": c for k, c in like.items()})
+    total = F.col("l_ymd") + F.col("l_dmy") + F.col("l_mdy")
+    best = F.greatest(*(F.when(F.col(f"l_{k}") > 0, F.struct(F.col(f"l_{k}").alias("l"), F.col(k).alias("day"))) for k in ORDERS))
+    base = computed(base, total=total, day=F.when(total >= NEVER, best["day"]))
+    agreed = sum((F.when(F.col(k) == F.col("day"), F.col(f"l_{k}")).otherwise(0.0) for k in ORDERS), F.lit(0.0))  # 11/11 reads the same either way
+    posterior = F.when(F.col("day").isNotNull(), agreed / F.col("total")).when(F.col("epoch").isNotNull(), 1.0)
+    year, month, day = (F.col("day") / 10000).cast("int"), (F.col("day") / 100).cast("int") % 100, F.col("day") % 100
     zero = lambda c: F.when(F.col("dated"), 0).otherwise(F.col(c))
-    base = computed(base, posterior=posterior, local=local_second(F.col("year"), month, day, zero("hour"), zero("minute"), zero("second")))
+    base = computed(base, posterior=posterior, local=local_second(year, month, day, zero("hour"), zero("minute"), zero("second")))
 
     # the zone: offset, then name, then an abbreviation of the place's zone, then the place's zone
     names = list(zone_names())
@@ -80,7 +103,7 @@ def normalise_moments(df: DataFrame, sure: float = 0.99) -> DataFrame:
         F.when(F.coalesce(F.col("v"), F.lit("")) == "", "missing")
         .when(F.col("family").isNull(), "unparsed")
         .when(F.col("epoch").isNotNull(), "ok")
-        .when(F.coalesce(F.col("posterior") < sure, F.lit(False)), "ambiguous_order")
+        .when(F.coalesce(F.col("posterior") < sure, F.lit(False)) & F.col("local").isNotNull(), "ambiguous_order")
         .when(F.col("local").isNull() | F.col("posterior").isNull(), "impossible")
         .when(F.col("offset").isNotNull(), "ok")
         .when(F.col("short"), F.when(F.size("fits") == 1, "ok").otherwise("unknown_zone"))
@@ -91,4 +114,4 @@ def normalise_moments(df: DataFrame, sure: float = 0.99) -> DataFrame:
     )
     second = F.coalesce("epoch", F.when(F.col("offset").isNotNull(), F.col("local") - F.col("offset")).when(F.col("short"), F.col("local") - F.try_element_at("fits", F.lit(1))).otherwise(F.col("in_utc")))
     out = computed(base, status=status)
-    return out.select("kind", "id", F.when(F.col("status") == "ok", second).cast("long").alias("utc_second"), "status", F.col("posterior").alias("order_posterior"))
+    return out.select("kind", "id", F.when(F.col("status") == "ok", second).cast("long").alias("utc_second"), "status", F.col("posterior").alias("order_posterior"), F.when(loose & (F.col("valid").isin(3, 5, 6, 7)), "mixture").otherwise("form").alias("order_by"))

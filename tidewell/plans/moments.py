@@ -29,8 +29,8 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many values of each kind were resolved, or why not."""
-    return normalise_moments(moments(spark, sf_dir)).groupBy("kind", "status").agg(F.count(F.lit(1)).alias("n"))
+    """How many values of each kind were resolved, or why not, and whether their form or the mixture told their order."""
+    return normalise_moments(moments(spark, sf_dir)).groupBy("kind", "status", "order_by").agg(F.count(F.lit(1)).alias("n"))
 
 
 QUERIES = {"p2_found": p2_found, "p2_status": p2_status}
