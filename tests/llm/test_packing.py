@@ -1,7 +1,9 @@
 import random
 from collections import Counter
 
-from tidewell.llm.packing import best_fit_runs, pack
+import pytest
+
+from tidewell.llm.packing import MAX_CAPACITY, best_fit_runs, most_placed, pack
 
 
 def test_runs_fill_no_container_beyond_capacity():
@@ -40,3 +42,18 @@ def test_cases(spark):
         load[r["container_id"]] += r["size"]
     assert max(load.values()) <= 100 and len(load) == 6
     assert pack(df.where("n < 0"), "id", "n", 100).count() == 0
+
+
+def test_placed_runs_stay_below_the_proven_bound():
+    rng = random.Random(6)
+    for capacity in (64, 1000, 8192):
+        runs = [(s, rng.choice([1, 1, 2, 50, 10_000])) for s in range(1, capacity + 1) if rng.random() < 0.7]
+        table, _ = best_fit_runs(runs, capacity)
+        assert len(table) <= most_placed(len(runs), capacity) and table[:, 2].sum() == sum(n for _, n in runs)
+
+
+def test_capacities_beyond_the_bound_are_refused(spark):
+    df = spark.createDataFrame([(1, 30)], "id long, n int")
+    for capacity in (0, -1, MAX_CAPACITY + 1):
+        with pytest.raises(ValueError):
+            pack(df, "id", "n", capacity)

@@ -6,8 +6,18 @@ documents there are. Supersteps go through the document runs from the largest do
 the gap runs is the best fit, conflicts over it are resolved by rank (the i-th documents of the run take the i-th
 containers of the gap run, as many each as the gap holds), gaps are updated, and the step repeats until the run is
 placed; what finds no gap opens containers. Ranks of the rows within their size come from counts per partition, so a
-size shared by a third of all rows stays spread over the tasks. Only the histogram of sizes and the list of placed
-runs, both bounded by the capacity and not by the rows, pass through the driver.
+size shared by a third of all rows stays spread over the tasks.
+
+Only the histogram of sizes and the list of placed runs pass through the driver, and both are bounded by the capacity C
+and not by the rows. Let there be D <= C document runs. A superstep takes one gap run. If it uses the run up, it leaves
+one run in its place, whose gap is the old one modulo the size and thus less than half of it; so a run is used up at
+most log2(C) + 1 times before its gap is 0. If it doesn't, it ends the document run and leaves at most three runs. So at
+most 3 D runs are ever made, there are at most D + 3 D (log2(C) + 1) supersteps, and each places at most two runs. With
+capacities above MAX_CAPACITY the list could pass 130 MB, so they are refused.
+
+Sweeps over the rows themselves, one document a gap and step, would need as many rounds of sorting all rows as the
+fullest container has documents, and resolve conflicts within a partition only; runs give the same best-fit order
+exactly.
 
 Defined cases: null sizes and sizes of zero or less get no container; an item larger than the capacity is divided into
 full containers and one rest, which is placed like any other item; equal sizes and repeated ids are separate items;
@@ -27,6 +37,15 @@ from pyspark.sql import functions as F
 from tidewell.session import cut_lineage
 
 
+#: The largest capacity that `pack` takes.
+MAX_CAPACITY = 32_768
+
+
+def most_placed(runs: int, capacity: int) -> int:
+    """The proven bound on placed runs."""
+    return 2 * (runs + 3 * runs * (capacity.bit_length() + 1))
+
+
 def best_fit_runs(runs: list[tuple[int, int]], capacity: int) -> tuple[np.ndarray, int]:
     """Placed runs (size, first rank, documents, first container, documents a container) and the number of containers.
 
@@ -70,6 +89,7 @@ def best_fit_runs(runs: list[tuple[int, int]], capacity: int) -> tuple[np.ndarra
                     rank += rest
                     full += 1
                 add(gap, first + full, n - full)
+    assert len(placed) <= most_placed(len(runs), capacity)
     return np.array(placed, np.int64).reshape(-1, 5), opened
 
 
@@ -90,8 +110,10 @@ def _ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def pack(sizes: DataFrame, id_col: str, size_col: str, capacity: int) -> DataFrame:
     """(id, part_no, start, size, container_id): where each item, or each part of a divided one, goes.
 
-    part_no counts from 1 and start is the part's first unit within the item.
+    part_no counts from 1 and start is the part's first unit within the item. Capacities over MAX_CAPACITY are refused.
     """
+    if not 1 <= capacity <= MAX_CAPACITY:
+        raise ValueError(f"the capacity must be from 1 to {MAX_CAPACITY}")
     spark = sizes.sparkSession
     base = sizes.select(F.col(id_col).alias("id"), F.col(size_col).cast("long").alias("whole")).where("whole > 0")
     parts = F.transform(F.sequence(F.lit(0), ((F.col("whole") - 1) / capacity).cast("int")), lambda i: i.cast("int"))
