@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from tidewell.llm.boilerplate import boilerplate_lines, form_of, is_headline, page_lines
+from tidewell.llm.boilerplate import PATH, boilerplate_lines, form_of, is_headline, page_lines
 from tidewell.llm.lines import site_of
 from tidewell.llm.repeats import repeated_lines, without_lines
 
@@ -121,3 +121,27 @@ def test_page_lines():
     assert form_of("　Ａ １２ b 34") == "A0b0"
     assert is_headline("城区停水通知(更新)", "城区停水通知") and not is_headline("首页/城区停水通知", "城区停水通知")
     assert page_lines(None, None, None)[0] == [] and page_lines("a\n\n b ", None, None)[0] == [1, 3]
+
+
+def test_a_host_keeps_its_result_among_many_others(spark):
+    word = lambda i: "".join(chr(97 + i // 26**k % 26) for k in range(3)) + "ox"
+
+    def rows(host, n, bar, lead):
+        for i in range(n):
+            w, v = word(i), word(i + 7000)
+            yield f"{host}{i:05d}", host, f"Title {w} of {v}", f"{bar}\n{lead} {w}\nTitle {w} of {v}\nStory {w} begins here with {v}.\nIt goes on for {w} days and nights.\nIt ends at {v} in peace now.\n" + (f"Rate {bar}\nPeople said {w} of {v}." if i % 20 == 0 else f"Copy of {bar}"), i
+
+    schema = "eid string, dom string, ttl string, body string, at int"
+    own = list(rows("own", 200, "Home - News", "By"))
+    other = [r for k in range(20) for r in rows(f"other{k}", 1000, f"Start - Jobs {word(k)}", "From")]
+    run = lambda data: {tuple(r) for r in boilerplate_lines(spark.createDataFrame(data, schema), "eid", "body", "ttl", F.col("dom"), F.lit(None).cast("string"), "at").where("id LIKE 'own%'").collect()}
+    alone = run(own)
+    assert {n for i, n in alone if i == "own00001"} == {1, 2, 7} and {n for i, n in alone if i == "own00020"} == {1, 2, 7, 8}
+    assert run(own + other) == alone
+
+
+def test_paths_and_long_lines():
+    head = "The bridge reopens"
+    text = "\n".join(["Menu"] * 30 + [f"Home / City / {head}", head, "A / B / " + "x / " * 5000])
+    flags = page_lines(text, None, None)[4]
+    assert flags[30] & PATH and not flags[31] & PATH and not flags[32] & PATH

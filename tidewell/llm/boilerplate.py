@@ -4,17 +4,20 @@ All pages of one host are merged into one tree. Its content nodes are line forms
 name masked, the page's headline replaced by a mark); its presentation nodes are line styles (the lead of the form,
 alone and with the shape of its beginning). Importance is measured by information:
 
-* A content node's importance is the surprise of meeting it on a page of the host, -log2 of the share of pages that
-  carry it. Below `host_bits` (or `corpus_bits` over all hosts, for hosts too small or unknown) it is boilerplate.
+* A content node's importance is the entropy that is left when it is met: a line on k of a host's m pages has
+  1 - log k / log m, the composite importance of a leaf of the site style tree. The bound is set on its numerator,
+  -log2(k / m), so that it means the same share of pages on hosts of any size. Below `host_bits` (or `corpus_bits` over
+  all hosts, for hosts too small or unknown) it is boilerplate.
 * A boilerplate content node after which few of a page's paragraphs follow, averaged over the host's pages, opens a low
   importance branch: share bars, legal notes, teaser and comment headings. The branch goes with everything below it.
 * A presentation node's importance is the share of its unrepeated lines that stand between two paragraphs of a page.
   Lines above the first or below the last paragraph whose style is seldom there go: paths, bylines, tags, links.
-  Above the first paragraph a line whose style is rare stays (it may be a headline), below the last one it goes.
+  Above the first paragraph a line whose style is rare stays (it may be a headline), below the last one it goes. A
+  style without a verdict has its parent's: the lead of its lines or, for lines of steps, their shape up to the first.
 
-Branches and presentation nodes are judged by the host where it has FEW_ENDS or FEW_LINES of them, with as many more at
-the rate of all hosts where that is known; elsewhere, and for unknown hosts, by all hosts. The floors are counted in the
-host's own pages, so a host is judged alike however many others the table holds.
+Branches and styles are judged by the host where it has FEW_ENDS or FEW_LINES of them. A host of OWN stories or more
+judges alone, so its result doesn't depend on what else the table holds. What smaller hosts have less of, and unknown
+hosts, is judged by all pages; there, forms and styles count that are on a fixed share of all pages.
 
 A paragraph is an unrepeated line that ends like a sentence and stands outside such branches.
 
@@ -27,15 +30,16 @@ Defined cases: rows with null id are left out; redelivered ids count once; null
 lines are never reported; pages of unknown host are judged by the corpus alone; an empty table gives an empty table.
 Lines meet only their host's array of boilerplate (bounded: every entry is on a fixed share of the host's pages), and
 the broadcast sets hold forms and styles that are on a fixed share of all pages. A host's verdicts are arrays too: they
-hold its boilerplate, and styles that are on a fixed share of its pages.
+hold its boilerplate, and styles that are on a fixed share of its pages. A task holds at most FLUSH sums at a time.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import defaultdict
+from collections import ChainMap, defaultdict
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -46,21 +50,25 @@ from pyspark.sql import functions as F
 from tidewell.llm.lines import BLANK, once
 from tidewell.session import cut_lineage, spread
 
-SENTENCE, HEADLINE, PATH, COMMON, LATE_PATH = 1, 2, 4, 8, 16
-#: Lines at the top of a page in which a path is none of the paragraphs; further down it is one only above the first of them.
-TOP = 12
-#: So often, at least, a host has what it judges itself: branch openers and lines of a style.
+SENTENCE, HEADLINE, PATH, COMMON = 1, 2, 4, 8
+#: A path has at most so many steps; a line with more separators is running text or a table.
+STEPS = 50
+#: Stories of a host that is judged by its own pages alone.
+OWN = 50
+#: So often, at least, a host has the branch openers and styles that it judges itself.
 FEW_ENDS, FEW_LINES = 5, 8
+#: Sums that a task holds before it hands them on; Spark adds them up.
+FLUSH = 500_000
 #: Pages that agree in so many of their longest sentences tell the same story.
 STORY = 3
 _TABLE = {**{ord(c): None for c in BLANK}, **{c: c - 0xFEE0 for c in range(0xFF01, 0xFF5F)}}
 _TABLE_WIDTH = {c: c - 0xFEE0 for c in range(0xFF01, 0xFF5F)}
 _WORD = re.compile(r"[\s\u3000]*([A-Za-z]+)")
 _DIGITS = re.compile("[0-9]+")
-_HAN = re.compile("[一-鿿]+")
-_ALPHA = re.compile("[A-Za-zÀ-ɏ'’]+")
+_RUN = re.compile("[一-鿿A-Za-zÀ-ɏ'’]+|.", re.DOTALL)
 _END = re.compile("[。！？!?.…][”\"』」）)’]*$")
 _STEPS = re.compile("[/>»]")
+_STEM = re.compile(".*?[/>»]")
 
 
 def form_of(line: str) -> str:
@@ -100,24 +108,24 @@ def page_lines(text: str | None, title: str | None, name: str | None) -> tuple[l
         masked = form.replace(head, "\x01") if len(head) >= 6 else form
         if site:
             masked = masked.replace(site, "§")
-        shape = _ALPHA.sub("A", _HAN.sub("H", masked[:200]))[:6]
+        shape = "".join("A" if len(r) > 1 or r.isalpha() else r for r in (m.group() for m in islice(_RUN.finditer(masked), 6)))
         nos.append(no)
         forms.append(form)
         keys.append(_hash(masked))
         word = _WORD.match(line.translate(_TABLE_WIDTH))
         lead = word.group(1) if word else masked[:3] if masked[0].isalnum() or masked[0] in "\x01§" else masked[0]
-        leads.append(_hash(lead))
+        stem = _STEM.match(shape)  # the parent of a path's style is the shape up to its first step
+        leads.append(_hash("\x02" + stem.group() if stem else lead))
         styles.append(_hash((lead if word else masked[:3]) + "|" + shape))
         flags.append(flag)
-    top = [f for f in forms if 8 <= len(f) <= 120]
-    for i, f in enumerate(forms):  # a path holds the headline, whether or not the title is known
-        if len(f) > 200 or not (steps := len(_STEPS.findall(f))):
-            continue
-        for g in top:
-            if g in f and g != f and steps > len(_STEPS.findall(g)):
-                flags[i] |= PATH if i < TOP and g in forms[:TOP] else LATE_PATH
-                break
-    said = {k: len(f) for k, f, flag in zip(keys, forms, flags) if flag & (SENTENCE | HEADLINE | PATH | LATE_PATH) == SENTENCE}
+    known = set(forms)
+    for i, f in enumerate(forms):  # a path ends in the headline or has it as a step, whether or not the title is known
+        at = [m.end() for m in islice(_STEPS.finditer(f), STEPS + 1)]
+        if 0 < len(at) <= STEPS:
+            steps = {f[x:y] for x, y in zip([0, *at], [*(x - 1 for x in at), len(f)])} | {f[x:] for x in at}
+            if any(len(g) >= 8 for g in steps & known):
+                flags[i] |= PATH
+    said = {k: len(f) for k, f, flag in zip(keys, forms, flags) if flag & (SENTENCE | HEADLINE | PATH) == SENTENCE}
     return nos, keys, styles, leads, flags, sorted(said, key=lambda k: (-said[k], k))
 
 
@@ -149,9 +157,9 @@ def _pages(b: pa.RecordBatch) -> Iterator[tuple[int, dict[str, np.ndarray]]]:
 def zones(flags: np.ndarray, branch: np.ndarray) -> tuple[int, int, int]:
     """(first paragraph, last paragraph, start of the low importance branch) of a page; no paragraph: (end, -1, end)."""
     end = int(np.argmax(branch)) if branch.any() else len(flags)
-    text = np.flatnonzero((flags[:end] & (SENTENCE | COMMON | HEADLINE | PATH)) == SENTENCE)
-    late = (flags[text] & LATE_PATH) > 0
-    text = text[int(np.argmin(late)) :] if not late.all() else text[:0]  # paths above the first paragraph
+    text = np.flatnonzero((flags[:end] & (SENTENCE | COMMON | HEADLINE)) == SENTENCE)
+    path = (flags[text] & PATH) > 0
+    text = text[int(np.argmin(path)) :] if not path.all() else text[:0]  # above the first paragraph, a path is none
     return (int(text[0]), int(text[-1]), end) if len(text) else (end, -1, end)
 
 
@@ -205,6 +213,9 @@ def boilerplate_lines(df: DataFrame, id_col: str, text_col: str, title_col: str,
     counted = marked.where("once >= 1")
 
     # branches: what share of the page's paragraphs follows a boilerplate node
+    def handed(sums: dict) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([k[0] for k in sums], pa.string()), pa.array([k[1] for k in sums], pa.int64()), *(pa.array([s[c] for s in sums.values()], pa.float64()) for c in range(4))], names=["site", "key", "n", "after", "all_n", "all_after"])
+
     def following(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[tuple[str | None, int], list[float]] = defaultdict(lambda: [0, 0.0, 0, 0.0])
         for b in batches:
@@ -222,33 +233,40 @@ def boilerplate_lines(df: DataFrame, id_col: str, text_col: str, title_col: str,
                         if first:
                             s[2] += 1
                             s[3] += a
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in sums], pa.string()), pa.array([k[1] for k in sums], pa.int64()), *(pa.array([s[c] for s in sums.values()], pa.float64()) for c in range(4))], names=["site", "key", "n", "after", "all_n", "all_after"])
-
-    least = max(FEW_ENDS, total // 2000)
-    ends = counted.mapInArrow(following, "site string, key long, n double, after double, all_n double, all_after double").groupBy("site", "key").agg(*(F.sum(c).alias(c) for c in ("n", "after", "all_n", "all_after")))
-    ends = cut_lineage(ends)
-    general = ends.groupBy("key").agg(F.sum("all_n").alias("all_n"), F.sum("all_after").alias("all_after")).where(F.col("all_n") >= least).select("key", (F.col("all_after") / F.col("all_n")).alias("usual"))
-    general = cut_lineage(general)
-    opens = spark.sparkContext.broadcast(np.array(sorted(r["key"] for r in general.where(F.col("usual") <= follow).select("key").collect()), np.int64))
-    own_ends = ends.select("site", "key", "n", "after").where("site IS NOT NULL").join(sizes.select("site", F.col("n").alias("pages")), "site")
-    own_ends = own_ends.where((F.col("n") >= FEW_ENDS) & (F.col("n") >= F.col("pages") / 2000)).join(F.broadcast(general), "key", "left")
-    mean = (F.col("after") + FEW_ENDS * F.coalesce("usual", F.col("after") / F.col("n"))) / (F.col("n") + FEW_ENDS)
-    own_ends = cut_lineage(own_ends.groupBy("site").agg(F.collect_list(F.when(mean <= follow, F.col("key"))).alias("opening"), F.collect_list(F.when(mean > follow, F.col("key"))).alias("closed")))
-
-    def branch_of(p: dict[str, np.ndarray], opening: pa.ListScalar, closed: pa.ListScalar) -> np.ndarray:
-        branch = np.isin(p["keys"], opens.value)
-        if closed.values is not None:
-            branch = (branch & ~np.isin(p["keys"], closed.values.to_numpy())) | np.isin(p["keys"], opening.values.to_numpy())
+            if len(sums) >= FLUSH:
+                yield handed(sums)
+                sums.clear()
+        yield handed(sums)
+
+    ends = cut_lineage(counted.mapInArrow(following, "site string, key long, n double, after double, all_n double, all_after double").groupBy("site", "key").agg(*(F.sum(c).alias(c) for c in ("n", "after", "all_n", "all_after"))))
+    general = ends.groupBy("key").agg(F.sum("all_n").alias("n"), F.sum("all_after").alias("after")).where((F.col("n") >= max(FEW_ENDS, total / 2000)) & (F.col("after") <= F.col("n") * follow))
+    opens = spark.sparkContext.broadcast(np.array(sorted(r["key"] for r in general.select("key").collect()), np.int64))  # each is on one page in 2000
+    hosts_pages = sizes.where(F.col("site").isNotNull()).select("site", F.col("n").alias("pages"))
+    low_end = F.col("after") <= F.col("n") * follow
+    own_ends = ends.where(F.col("n") >= FEW_ENDS).groupBy("site").agg(F.collect_list(F.when(low_end, F.col("key"))).alias("opening"), F.collect_list(F.when(~low_end, F.col("key"))).alias("closed"))
+    own_ends = cut_lineage(hosts_pages.join(own_ends, "site", "left").select("site", (F.col("pages") >= OWN).alias("large"), *(F.coalesce(c, F.array().cast("array<bigint>")).alias(c) for c in ("opening", "closed"))))
+
+    def branch_of(p: dict[str, np.ndarray], large: bool | None, opening: pa.ListScalar, closed: pa.ListScalar) -> np.ndarray:
+        if large is None:
+            branch = np.isin(p["keys"], opens.value)
+        else:
+            branch = np.isin(p["keys"], opening.values.to_numpy())
+            if not large:
+                branch |= np.isin(p["keys"], opens.value) & ~np.isin(p["keys"], closed.values.to_numpy())
         return branch & ((p["flags"] & COMMON) > 0)
 
     # presentation nodes: how many of their lines stand above, between and below the paragraphs
+    def placed(sums: dict) -> pa.RecordBatch:
+        rows = list(sums.items())
+        return pa.RecordBatch.from_arrays([pa.array([k[0] for k, _ in rows], pa.string()), pa.array([k[1] for k, _ in rows], pa.bool_()), pa.array([k[2] for k, _ in rows], pa.int64()), *(pa.array([v[c] for _, v in rows], pa.int64()) for c in range(4))], names=["site", "lead", "key", "n", "between", "all_n", "all_between"])
+
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[tuple[str | None, bool, int], list[int]] = defaultdict(lambda: [0, 0, 0, 0])
         for b in batches:
-            sites, onces, opening, closed = b.column("site").to_pylist(), b.column("once").to_pylist(), b.column("opening"), b.column("closed")
+            sites, onces, large, opening, closed = b.column("site").to_pylist(), b.column("once").to_pylist(), b.column("large").to_pylist(), b.column("opening"), b.column("closed")
             for i, p in _pages(b):
                 site, corpus_wide = sites[i], onces[i] == 2
-                first, last, end = zones(p["flags"], branch_of(p, opening[i], closed[i]))
+                first, last, end = zones(p["flags"], branch_of(p, large[i], opening[i], closed[i]))
                 for j in range(end):
                     f = int(p["flags"][j])
                     if f & HEADLINE or f & (SENTENCE | COMMON | PATH) == SENTENCE:
@@ -261,38 +279,39 @@ def boilerplate_lines(df: DataFrame, id_col: str, text_col: str, title_col: str,
                         if corpus_wide:
                             s[2] += 1
                             s[3] += between
-        rows = list(sums.items())
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k, _ in rows], pa.string()), pa.array([k[1] for k, _ in rows], pa.bool_()), pa.array([k[2] for k, _ in rows], pa.int64()), *(pa.array([v[c] for _, v in rows], pa.int64()) for c in range(4))], names=["site", "lead", "key", "n", "between", "all_n", "all_between"])
+            if len(sums) >= FLUSH:
+                yield placed(sums)
+                sums.clear()
+        yield placed(sums)
 
     places_df = counted.join(own_ends, "site", "left").mapInArrow(places, "site string, lead boolean, key long, n long, between long, all_n long, all_between long")
     nodes = cut_lineage(places_df.groupBy("site", "lead", "key").agg(*(F.sum(c).alias(c) for c in ("n", "between", "all_n", "all_between"))))
-    usual = nodes.groupBy("lead", "key").agg(F.sum("all_n").alias("all_n"), F.sum("all_between").alias("all_between")).where(F.col("all_n") >= max(FEW_LINES, total // 2000))
-    usual = cut_lineage(usual.select("lead", "key", "all_n", (F.col("all_between") / F.col("all_n")).alias("usual")))
+    often = max(FEW_LINES, total / 500)
+    usual = nodes.groupBy("lead", "key").agg(F.sum("all_n").alias("n"), F.sum("all_between").alias("between")).where(F.col("n") >= max(FEW_LINES, total / 2000))
     styles: tuple[dict[int, int], dict[int, int]] = ({}, {})  # 0: stands between paragraphs; 1: seldom; 2: seldom, and often met
-    often = max(FEW_LINES, total // 500)
-    for r in usual.collect():  # each is on at least one in 2000 pages
-        styles[int(r["lead"])][r["key"]] = (2 if r["all_n"] >= often else 1) if r["usual"] < seldom else 0
+    for r in usual.collect():  # each is on one page in 2000
+        styles[int(r["lead"])][r["key"]] = (2 if r["n"] >= often else 1) if r["between"] < seldom * r["n"] else 0
     shared = spark.sparkContext.broadcast(styles)
-    own = nodes.select("site", "lead", "key", "n", "between").where(F.col("site").isNotNull() & (F.col("n") >= FEW_LINES)).join(sizes.select("site", F.col("n").alias("pages")), "site")
-    own = own.where(F.col("n") >= F.col("pages") / 500).join(F.broadcast(usual), ["lead", "key"], "left")
-    share = (F.col("between") + FEW_LINES * F.coalesce("usual", F.col("between") / F.col("n"))) / (F.col("n") + FEW_LINES)
-    own_styles = own.groupBy("site").agg(*(F.collect_list(F.when((F.col("lead") == lead) & ((share < seldom) == low), F.col("key"))).alias(f"{'low' if low else 'fine'}_{'leads' if lead else 'styles'}") for lead in (False, True) for low in (False, True)))
-    verdicts = ["fine_styles", "low_styles", "fine_leads", "low_leads"]
+    own = nodes.join(hosts_pages, "site").where((F.col("n") >= FEW_LINES) & (F.col("n") >= F.col("pages") / 500))
+    low = F.col("between") < F.col("n") * seldom
+    verdicts = {"fine_styles": ~F.col("lead") & ~low, "low_styles": ~F.col("lead") & low, "fine_leads": F.col("lead") & ~low, "low_leads": F.col("lead") & low}
+    own_styles = own.groupBy("site").agg(*(F.collect_list(F.when(c, F.col("key"))).alias(n) for n, c in verdicts.items()))
+    names = list(verdicts)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_style, by_lead = shared.value
-        of: dict[str | None, tuple[dict[int, int], dict[int, int]]] = {}
+        of: dict[str | None, tuple[ChainMap, ChainMap]] = {}
         for b in batches:
             out = []
-            sites, opening, closed, said = b.column("site").to_pylist(), b.column("opening"), b.column("closed"), [b.column(c) for c in verdicts]
+            sites, large, opening, closed, said = b.column("site").to_pylist(), b.column("large").to_pylist(), b.column("opening"), b.column("closed"), [b.column(c) for c in names]
             for i, p in _pages(b):
                 if sites[i] not in of:
                     if len(of) >= 100:
                         of.clear()
                     fine, low, fine_lead, low_lead = (c[i].as_py() or [] for c in said)
-                    of[sites[i]] = ({**dict.fromkeys(fine, 0), **dict.fromkeys(low, 2)}, {**dict.fromkeys(fine_lead, 0), **dict.fromkeys(low_lead, 2)})
-                host_style, host_lead = of[sites[i]]
-                first, last, end = zones(p["flags"], branch_of(p, opening[i], closed[i]))
+                    usual = ({}, {}) if large[i] else shared.value
+                    of[sites[i]] = (ChainMap({**dict.fromkeys(fine, 0), **dict.fromkeys(low, 2)}, usual[0]), ChainMap({**dict.fromkeys(fine_lead, 0), **dict.fromkeys(low_lead, 2)}, usual[1]))
+                by_style, by_lead = of[sites[i]]
+                first, last, end = zones(p["flags"], branch_of(p, large[i], opening[i], closed[i]))
                 gone = []
                 for j, (no, f) in enumerate(zip(p["nos"].tolist(), p["flags"].tolist())):
                     if j >= end or f & COMMON:
@@ -301,10 +320,10 @@ def boilerplate_lines(df: DataFrame, id_col: str, text_col: str, title_col: str,
                         continue
                     else:
                         lead, style = int(p["leads"][j]), int(p["styles"][j])
-                        lead = host_lead.get(lead, by_lead.get(lead))
-                        style = host_style.get(style, by_style.get(style, lead))
+                        lead = by_lead.get(lead)
+                        style = by_style.get(style, lead)
                         if j < first:
-                            if f & (PATH | LATE_PATH) or style == 2 or lead == 2:
+                            if f & PATH or style == 2 or lead == 2:
                                 gone.append(no)
                         elif style != 0:
                             gone.append(no)
