@@ -17,6 +17,19 @@ def test_search_payloads(spark, tmp_path):
     assert sorted((r["query"], r["title"], r["url"]) for r in got.collect()) == [("a", "H", "u2"), ("a", "T", "u1"), ("b", "W", None), ("c", "alone", None)]
 
 
+def test_search_records(spark):
+    cases = {
+        '[{"a": 1}, 2, {"b": 2}]': ['{"a":1}', '{"b":2}'], '{"data": {"items": [{"a": 1}]}}': ['{"a":1}'], '{"results": {"data": {"results": [{"a": 1}]}}}': ['{"a":1}'], '{"data": {"name": "x"}}': ['{"data": {"name": "x"}}'],
+        '{"webPages": {"value": [{"a": 1}]}}': ['{"a":1}'], '{"results": []}': [], '"text"': [], "nothing": [],
+    }
+    rows = spark.createDataFrame([(c,) for c in cases], "p string").select("p", search.records(F.col("p")).alias("r"))
+    assert {r["p"]: r["r"] for r in rows.collect()} == cases
+    one = spark.createDataFrame([('{"results": [{"link": "https://A.example/x", "url": "u", "summary": "s", "date": "d", "publish_time": "p"}, {"headline": "H", "source": "S", "type": "T", "body": "B"}]}',)], "payload string")
+    a, b = (r.asDict() for r in search.normalized(one).orderBy("position").collect())
+    assert (a["url"], a["text"], a["title"], a["platform"], a["source"], a["publish_time"]) == ("https://A.example/x", "s", "", "a.example", "a.example", "d")
+    assert (b["text"], b["platform"], b["source"], b["url"]) == ("B", "S", "T", None)
+
+
 def test_a_failing_provider_is_reported(spark):
     def factory():
         class Down:

@@ -54,3 +54,24 @@ def known_flags(values: Column, known: list[str], default: str) -> Column:
     """The known flags, each once in their order; the default alone if none is left."""
     kept = F.array_distinct(F.filter(F.coalesce(values, F.array().cast("array<string>")), lambda x: x.isin(known)))
     return F.when(F.size(kept) == 0, F.array(F.lit(default))).otherwise(kept)
+
+
+def answer_text(payload: Column) -> Column:
+    """The text of a chat answer in any shape: choices with a message, an object with content, else the payload itself."""
+    whole = F.ltrim(payload).startswith("{") & F.try_parse_json(payload).isNotNull()
+    chosen, content = F.get_json_object(payload, "$.choices[0].message.content"), F.get_json_object(payload, "$.content")
+    has = lambda key: F.array_contains(F.json_object_keys(payload), key)
+    message = F.get_json_object(payload, "$.choices[0].message")
+    return F.when(payload.isNull(), "").when(~whole, payload).when(has("choices"), F.when(message.isNull(), payload).otherwise(F.coalesce(chosen, F.lit("")))).when(has("content"), F.coalesce(content, F.lit(""))).otherwise(payload)
+
+
+def now_iso() -> Column:
+    """The time of the query in UTC, as ISO text; the same for all rows."""
+    return F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
+
+
+def masked(secret: Column) -> Column:
+    """A secret's first and last four characters; of eight or fewer the first and last alone; '***' for null."""
+    s = F.coalesce(secret, F.lit(""))
+    keep = F.when(F.length(s) <= 8, 1).otherwise(4)
+    return F.concat(F.left(s, keep), F.lit("***"), F.right(s, keep))

@@ -94,9 +94,9 @@ def ngrams(c: Column, n: int = 2) -> Column:
 
 def jaccard(a: Column, b: Column, empty: float = 0.0) -> Column:
     """Jaccard similarity of two arrays of distinct items; `empty` if both are empty, 0 if one is."""
-    both = F.size(F.array_intersect(a, b))
-    union = F.size(F.array_union(a, b))
-    return F.when(union == 0, F.lit(empty)).otherwise(both / union)
+    # an array of one struct binds the three numbers, so that neither set is built again for the union
+    sizes = F.array(F.struct(F.size(F.array_intersect(a, b)).alias("both"), (F.size(a) + F.size(b)).alias("sum")))
+    return F.transform(sizes, lambda s: F.when(s["sum"] == 0, F.lit(empty)).otherwise(s["both"] / (s["sum"] - s["both"])))[0]
 
 
 def char_jaccard(a: Column, b: Column) -> Column:
@@ -142,6 +142,22 @@ def supported_by(claim: Column, text: Column, least: int = 2) -> Column:
     return (F.size(words) > 0) & (hits >= F.least(F.lit(least), F.size(words)))
 
 
+def term_list(values: Column, stop: list[str], longest: int = 20) -> Column:
+    """The terms of all values, and each value itself if it has at most `longest` characters; each once."""
+    given = F.filter(F.transform(F.coalesce(values, F.array().cast("array<string>")), lambda v: strip(F.coalesce(v, F.lit("")))), lambda v: v != "")
+    return F.array_distinct(F.flatten(F.transform(given, lambda v: F.concat(word_terms(v, stop), F.when(F.length(v) <= longest, F.array(v)).otherwise(F.array().cast("array<string>"))))))
+
+
+def is_specific(term: Column, stop: list[str], generic: list[str]) -> Column:
+    """Whether a term of two or more characters is no stop term and holds no generic topic."""
+    return (F.length(term) >= 2) & ~term.isin(stop) & ~contains_any(term, generic)
+
+
+def alias_supported(name: Column, text: Column, aliases: dict[str, list[str]]) -> Column:
+    """Whether the text holds the name, loosely, or an alias of any word in it. aliases: word to its aliases."""
+    return loosely_contains(text, name) | reduce(lambda a, b: a | b, (F.contains(name, F.lit(w)) & contains_any(text, forms) for w, forms in aliases.items()), F.lit(False))
+
+
 def natural_key(c: Column) -> tuple[Column, Column]:
     """Sort columns of an id: its prefix and its trailing number."""
     return F.regexp_extract(c, "^(.*?)(\\d*)$", 1), F.coalesce(F.regexp_extract(c, "(\\d+)$", 1).try_cast("long"), F.lit(-1))

@@ -58,6 +58,30 @@ def greedy_pairs(pairs: DataFrame, group: str) -> DataFrame:
     return pairs.select(group, "g", "p", "similarity").groupBy(group).applyInPandas(match, f"{group} {kind[group]}, g {kind['g']}, p {kind['p']}, similarity double")
 
 
+def sentiment_accuracy(matched: DataFrame, gold: DataFrame, predicted: DataFrame, id_col: str, label: str) -> DataFrame:
+    """One row (n, n_right, sentiment_accuracy): matched (g, p) pairs whose labels agree; null labels agree with each other."""
+    both = matched.join(gold.select(F.col(id_col).alias("g"), F.col(label).alias("x")), "g").join(predicted.select(F.col(id_col).alias("p"), F.col(label).alias("y")), "p")
+    n = both.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("x").eqNullSafe(F.col("y"))).alias("n_right"))
+    return n.select("n", "n_right", F.round(ratio(F.col("n_right"), F.col("n")), 4).alias("sentiment_accuracy"))
+
+
+def support_rates(predicted: DataFrame, verified: Column, label: Column, by: str) -> DataFrame:
+    """(by, n, supported_rate, unsupported_rate): shares that are verified, and that are unsupported or lack evidence."""
+    n = predicted.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.coalesce(verified, F.lit(False))).alias("v"), F.count_if(F.coalesce(label.isin("unsupported", "insufficient_evidence"), F.lit(False))).alias("u"))
+    return n.select(by, "n", F.round(ratio(F.col("v"), F.col("n")), 4).alias("supported_rate"), F.round(ratio(F.col("u"), F.col("n")), 4).alias("unsupported_rate"))
+
+
+def judged_f1(gold: DataFrame, predicted: DataFrame, group: str, judged: DataFrame) -> DataFrame:
+    """One row: precision, recall and F1 where a judge has said which rows match, over groups that have both sides.
+
+    judged: (g, p) of matching ids, each once at most on either side. Groups without gold or predictions don't count.
+    """
+    both = gold.select(group).distinct().join(predicted.select(group).distinct(), group)
+    n_gold, n_pred = (d.join(both, group, "left_semi").agg(F.count(F.lit(1)).alias(a)) for d, a in ((gold, "n_gold"), (predicted, "n_pred")))
+    n = judged.agg(F.count(F.lit(1)).alias("tp")).join(n_gold).join(n_pred)  # three single rows
+    return n.select("tp", "n_gold", "n_pred", *prf(F.col("tp"), F.col("n_pred"), F.col("n_gold")))
+
+
 def soft_f1(gold: DataFrame, predicted: DataFrame, group: str, id_col: str, text: str, threshold: float = 0.5) -> DataFrame:
     """One row: one-to-one soft precision, recall and F1."""
     tp = greedy_pairs(similar_pairs(gold, predicted, group, id_col, text, threshold), "grp").agg(F.count(F.lit(1)).alias("tp"))

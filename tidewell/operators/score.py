@@ -52,6 +52,43 @@ def stage_keyword_score(text: Column, strong: list[str], weak: list[str]) -> Col
     return F.round(F.when(s > 0, raw).otherwise(F.least(raw, F.lit(0.18))), 4)
 
 
+def stage_keyword_details(text: Column, source: Column, strong: list[str], weak: list[str], capped: float | None = None, official: list[str] | None = None) -> tuple[Column, Column]:
+    """(score, terms): min(1, 0.32 a strong hit + 0.06 a weak one), `capped` without a strong hit.
+
+    official: terms of which one in an official text is a strong hit of its own, named official_response_result.
+    """
+    hits = matched_terms(text, strong)
+    if official:
+        own = F.when((source == "official") & (F.size(matched_terms(text, official)) > 0), F.array(F.lit("official_response_result"))).otherwise(F.array().cast("array<string>"))
+        hits = F.concat(hits, own)
+    low = matched_terms(text, weak)
+    raw = F.least(F.lit(1.0), 0.32 * F.size(hits) + 0.06 * F.size(low))
+    if capped is not None:
+        raw = F.when(F.size(hits) > 0, raw).otherwise(F.least(raw, F.lit(capped)))
+    return F.round(raw, 4), F.array_distinct(F.concat(hits, low))
+
+
+def chain_confidence_full(rows: DataFrame, group: str, core: list[str], stages: int) -> DataFrame:
+    """(group, core_coverage, generic_ratio, top_domain_ratio, penalty, confidence) of a group's selected stage rows.
+
+    rows: (group, stage, source, domain, final, relevance, generic). Coverage of core and all stages, mean score and
+    relevance and up to four sources add; generic pages, a leading domain, missing core stages and low relevance take
+    off; below a mean relevance of 0.30 the confidence is 0.60 at most.
+    """
+    known = lambda c: F.when(F.coalesce(F.trim(c), F.lit("")) != "", F.col(c))
+    lead = rows.where(known("domain").isNotNull()).groupBy(group, "domain").agg(F.count(F.lit(1)).alias("n")).groupBy(group).agg(F.max("n").alias("lead"))
+    main = rows.groupBy(group).agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct(F.when(F.col("stage").isin(core), F.col("stage"))).alias("n_core"), F.countDistinct("stage").alias("n_stages"), F.avg(F.coalesce("final", F.lit(0.0))).alias("score"),
+        F.avg(F.coalesce("relevance", F.lit(0.0))).alias("relevance"), F.countDistinct(known("source")).alias("n_sources"), F.count_if(F.coalesce("generic", F.lit(False))).alias("n_generic"),
+    )
+    m = main.join(lead, group, "left").withColumns({"core_coverage": F.col("n_core") / len(core), "generic_ratio": F.col("n_generic") / F.col("n"), "top_domain_ratio": F.coalesce(F.col("lead"), F.lit(0)) / F.col("n")})
+    penalty = 0.20 * F.col("generic_ratio") + 0.15 * F.greatest(F.lit(0.0), F.col("top_domain_ratio") - 0.5) + 0.20 * (1 - F.col("core_coverage")) + F.when(F.col("relevance") < 0.35, 0.15).otherwise(0.0)
+    m = m.withColumn("penalty", penalty)
+    raw = clamped(0.28 * F.col("core_coverage") + 0.14 * F.col("n_stages") / stages + 0.22 * F.col("score") + 0.24 * F.col("relevance") + 0.12 * F.least(F.lit(1.0), F.col("n_sources") / 4) - F.col("penalty"))
+    confidence = F.when(F.col("relevance") < 0.30, F.least(raw, F.lit(0.60))).otherwise(raw)
+    return m.select(group, *(F.round(c, 4).alias(c) for c in ("core_coverage", "generic_ratio", "top_domain_ratio", "penalty")), rounded(confidence).alias("confidence"))
+
+
 def final_stage_score(keyword: Column, relevance: Column, quality: Column, prior: Column, stakeholder: Column, generic: Column) -> Column:
     """Weighted sum; quality 0.5 where unknown, and at most 0.24 below a relevance of 0.30."""
     raw = 0.40 * keyword + 0.25 * relevance + 0.15 * F.coalesce(quality, F.lit(0.5)) + 0.10 * prior + 0.10 * stakeholder - 0.12 * generic

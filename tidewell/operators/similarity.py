@@ -44,3 +44,30 @@ def similar_pairs(left: DataFrame, right: DataFrame, group: str, id_col: str, te
 def near_pairs(df: DataFrame, group: str, id_col: str, text: str, threshold: float) -> DataFrame:
     """(grp, a, b, similarity), a < b: similar rows of one group, equal texts included."""
     return similar_pairs(df, df, group, id_col, text, threshold).where("g < p").select("grp", F.col("g").alias("a"), F.col("p").alias("b"), "similarity")
+
+
+def containing_pairs(left: DataFrame, right: DataFrame, group: str, id_col: str, text: str) -> DataFrame:
+    """(grp, g, p): pairs of one group of which one text holds the other.
+
+    The rarest pair of characters of the held text has to be in the other, so only rows that share it meet; texts of
+    one character are sought by it. Blank texts belong to no pair.
+    """
+
+    def grams(df: DataFrame, n: int) -> DataFrame:
+        t = F.col("t")
+        runs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(t) - n + 1), lambda i: F.substring(t, i, F.lit(n))))
+        return df.where(F.length(t) >= n).select("grp", "id", "t", F.explode(runs).alias("gram"))
+
+    a, b = (d.select(F.col(group).alias("grp"), F.col(id_col).alias("id"), F.col(text).alias("t")).where(F.coalesce(F.trim("t"), F.lit("")) != "") for d in (left, right))
+
+    def held(x: DataFrame, y: DataFrame, n: int, one: bool) -> DataFrame:
+        """(grp, held, holder) of texts of x in texts of y; `one`: of the texts of exactly n characters alone."""
+        have = grams(y, n).select("grp", "gram", F.col("id").alias("holder"), F.col("t").alias("whole"))
+        frequency = have.groupBy("grp", "gram").agg(F.count(F.lit(1)).alias("f"))
+        want = grams(x.where(F.length("t") == n) if one else x, n).join(frequency, ["grp", "gram"], "left")
+        # a text with a pair of characters that no text of the group has is held by none
+        rarest = want.groupBy("grp", "id", "t").agg(F.min(F.struct(F.coalesce("f", F.lit(0)).alias("f"), "gram")).alias("m")).where("m.f > 0")
+        return rarest.select("grp", F.col("id").alias("held"), "t", F.col("m.gram").alias("gram")).join(have, ["grp", "gram"]).where(F.contains("whole", F.col("t"))).select("grp", "held", "holder")
+
+    found = [held(x, y, n, n == 1).select("grp", F.col("held" if forward else "holder").alias("g"), F.col("holder" if forward else "held").alias("p")) for n in (1, 2) for x, y, forward in ((a, b, True), (b, a, False))]
+    return found[0].unionByName(found[1]).unionByName(found[2]).unionByName(found[3]).distinct()

@@ -59,9 +59,48 @@ def fingerprints(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"), F.col("modificationTime").alias("modified"))
 
 
+def changed_since(before: DataFrame, now: DataFrame) -> DataFrame:
+    """(path, change): files that were added, removed or changed between two `fingerprints`; none: nothing changed."""
+    a, b = before.select("path", F.col("sha256").alias("was")), now.select("path", F.col("sha256").alias("is"))
+    change = F.when(F.col("was").isNull(), "added").when(F.col("is").isNull(), "removed").otherwise("changed")
+    return a.join(b, "path", "full_outer").where(~F.col("was").eqNullSafe(F.col("is"))).select("path", change.alias("change"))
+
+
+def read_snapshots(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+    """One JSON object a file, with its `path`; a file that holds none gives nulls. A missing path is an empty table."""
+    kind = schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema)
+    if not _exists(spark, path):
+        return spark.createDataFrame([], T.StructType([T.StructField("path", T.StringType()), *kind.fields]))
+    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.from_json("value", kind).alias("v"))
+    return files.select("path", *(F.col("v")[f.name].alias(f.name) for f in kind.fields))
+
+
+def bad_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(path, line, text): lines that are no JSON object, with their number; blank lines are none of them.
+
+    Files are numbered as a whole, so this is for the report after a strict scan has failed.
+    """
+    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.posexplode(F.split("value", "\r?\n")).alias("at", "text"))
+    return files.where((F.trim("text") != "") & F.try_parse_json("text").isNull() | (F.trim("text") != "") & ~F.ltrim("text").startswith("{")).select("path", (F.col("at") + 1).alias("line"), "text")
+
+
+def clear_outputs(spark: SparkSession, root: str, names: list[str]) -> list[str]:
+    """Delete the named outputs under `root` and give those that were there; names that lead out of it are refused."""
+    gone = []
+    for name in names:
+        if name.startswith("/") or ".." in name.split("/") or not name.strip("./"):
+            raise ValueError(f"not an output of {root}: {name!r}")
+        target = f"{root.rstrip('/')}/{name}"
+        if _exists(spark, target):
+            p = spark._jvm.org.apache.hadoop.fs.Path(target)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+            gone.append(name)
+    return gone
+
+
 def replacement_counts(spark: SparkSession, path: str) -> DataFrame:
     """(path, n): replacement characters in each text file."""
-    files = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("path"), "value")
+    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), "value")
     return files.select("path", (F.length("value") - F.length(F.replace("value", F.lit("�"), F.lit("")))).alias("n"))
 
 
