@@ -36,3 +36,25 @@ def test_two_cheap_edits_are_found(spark):
     df = spark.createDataFrame([("k", v, 1, v) for v in values], "kind string, id string, pos long, value string")
     ref = spark.createDataFrame(REFERENCE, "ref_id long, canonical_name string")
     assert {r["value"]: r["ref_id"] for r in map_to_reference(df, ref, "ref_id", "canonical_name").collect()} == values
+
+
+def test_depth_two_reaches_two_edits_of_any_kind(spark):
+    """Against the distance to every variant: depth 1 misses values that need two deletions on a side, depth 2 none within the limit."""
+    values = ["桦陵柚桥教育局", "柚桥区育教局育", "桦陵市柚桥区人民府政", "柚区教局", "青砚物服务有公司", "柚桥区教育局们"]
+    df = spark.createDataFrame([("k", v, 1, v) for v in values], "kind string, id string, pos long, value string")
+    ref = spark.createDataFrame(REFERENCE, "ref_id long, canonical_name string")
+    want = {}
+    for v in values:
+        best = min((weighted_distance(v, a), r) for r, n in REFERENCE if r for a in variants(n))
+        want[v] = best[1] if best[0] <= 1.6 else 0
+    got = {d: {r["value"]: r["ref_id"] for r in map_to_reference(df, ref, "ref_id", "canonical_name", depth=d, limit=1.6).collect()} for d in (1, 2)}
+    assert got[2] == want and want["柚区教局"] == 2
+    assert all(x in (0, want[v]) for v, x in got[1].items()) and got[1] != want
+
+
+def test_limited_distances_agree():
+    words = ["教育局", "教局育", "较育局", "教教育局", "教局", "体育局", "教X育局", "卫健局", "市场监管局", "市监局", ""]
+    for a in words:
+        for b in words:
+            d = weighted_distance(a, b)
+            assert weighted_distance(a, b, LIMIT) == d if d <= LIMIT else weighted_distance(a, b, LIMIT) > LIMIT

@@ -1,14 +1,17 @@
 """Mapping of freely typed values to a reference list.
 
 Each reference entry has spelled-out variants (ALIASES gives the short forms of its words; place names may lose their
-suffix or be left out). A symmetric-delete dictionary holds every variant and every variant with one character taken
-out; a value, cleaned of wrappers, meets it by itself and by its own one-character deletions. Two edits within the limit
-are doubled or look-alike characters, so both sides also have a key with those folded. Candidates that share a key are ranked by weighted Damerau-Levenshtein distance: a doubled character, a swap of neighbours, a letter of
-the same sound or shape and a lost character are cheap, any other change is too dear to match, as another place or
-body is often one character away. Ties go to the entry that exact values name most often; what is left is a miss.
-
-The dictionary is broadcast while the reference list has at most BROADCAST_ENTRIES entries, and joined by key beyond.
-Distances are computed once for each distinct cleaned value, so a value that a third of all rows share costs no more.
+suffix or be left out). A symmetric-delete dictionary holds every variant and every variant with up to `depth`
+characters taken out; a value, cleaned of wrappers, meets it by itself and by its own deletions of as many. Depth 1
+reaches every single edit; two edits within the default limit are doubled or look-alike characters, for which both sides
+also have a key with those folded. A higher limit needs a greater depth. Candidates that share a key are ranked by
+weighted Damerau-Levenshtein distance: a doubled character, a swap of neighbours, a letter of the same sound or shape
+and a lost character are cheap, any other change is too dear to match, as another place or body is often one character
+away. Ties go to the entry that exact values name most often; what is left is a miss.
+
+The dictionary is broadcast while it has at most BROADCAST_KEYS keys, counted after the variants and deletions are
+made, and joined by key beyond. Distances are computed once for each distinct cleaned value, so a value that a third of
+all rows share costs no more.
 
 Defined cases: null and blank values, null ids and null list items give no row (items keep their positions); general
 values and unknown bodies give ref_id 0; a value that equals a variant of several entries is a tie; repeated ids are
@@ -25,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.session import cut_lineage
+from tidewell.session import cut_lineage, written
 
 #: Short forms of words in reference names (fixed values).
 ALIASES = {
@@ -46,7 +49,8 @@ SIMPLIFIED = "区监卫设学业医务场东会员体关馆乡济团应与门台
 ALIKE = ["区曲", "局菊", "市事", "教较", "康慷", "管馆", "公工", "政正", "卫位", "住驻", "建健", "物务", "技计", "院园", "监间", "督都", "生声", "业叶", "司思", "测侧", "检捡"]
 #: Costs; a candidate dearer than LIMIT is no match.
 DOUBLED, SWAP, SIMILAR, LOST, OTHER, LIMIT = 0.5, 0.6, 0.5, 0.8, 1.5, 1.0
-BROADCAST_ENTRIES = 20_000
+#: Keys of a dictionary that is broadcast; a key with its variant takes some 100 bytes.
+BROADCAST_KEYS = 500_000
 
 _WIDE = "".join(map(chr, range(0xFF01, 0xFF5F)))
 _NARROW = "".join(map(chr, range(0x21, 0x7F)))
@@ -89,65 +93,86 @@ def _alias_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(refs, pa.int64()), pa.array(names, pa.string())], names=["ref_id", "alias"])
 
 
-def deletions(value: Column) -> Column:
-    """The value and the value without each of its characters."""
-    n = F.length(value)
-    less = F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.substring(value, F.lit(1), i - 1), F.substring(value, i + 1, n)))
-    return F.when(n > 0, F.array_distinct(F.concat(F.array(value), less)))
+def deletions(value: Column, depth: int = 1) -> Column:
+    """The value and the value without up to `depth` of its characters; null for null and ''."""
+
+    def less(v: Column) -> Column:
+        n = F.length(v)
+        one = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.concat(F.substring(v, F.lit(1), i - 1), F.substring(v, i + 1, n)))
+        return F.when(n > 0, one).otherwise(F.array().cast("array<string>"))
+
+    out = F.array(value)
+    for _ in range(depth):
+        out = F.array_distinct(F.concat(F.array(value), F.flatten(F.transform(out, less))))
+    return F.when(F.length(value) > 0, out)
 
 
-def keys_of(value: Column) -> Column:
+def keys_of(value: Column, depth: int = 1) -> Column:
     """The deletions, and the value with runs of a character and characters of one sound or shape as one."""
     folded = F.translate(value, "".join(s[1] for s in ALIKE), "".join(s[0] for s in ALIKE))
-    return F.concat(deletions(value), F.array(F.concat(F.lit("\x01"), F.regexp_replace(folded, "(.)\\1+", "$1"))))
+    return F.concat(deletions(value, depth), F.array(F.concat(F.lit("\x01"), F.regexp_replace(folded, "(.)\\1+", "$1"))))
 
 
-def weighted_distance(value: str, alias: str) -> float:
-    """Weighted Damerau-Levenshtein distance from a reference form to a typed value."""
+def weighted_distance(value: str, alias: str, limit: float = float("inf")) -> float:
+    """Weighted Damerau-Levenshtein distance from a reference form to a typed value; infinite beyond the limit."""
     n, m = len(value), len(alias)
-    d = np.zeros((n + 1, m + 1))
-    d[:, 0] = np.arange(n + 1) * OTHER
-    d[0, :] = np.arange(m + 1) * LOST
+    inf = float("inf")
+    if n == m and value == alias:
+        return 0.0
+    before: list[float] = []
+    last = [j * LOST for j in range(m + 1)]
     for i in range(1, n + 1):
+        a = value[i - 1]
+        extra = DOUBLED if (i > 1 and value[i - 2] == a) or (i < n and value[i] == a) else OTHER
+        row = [i * OTHER] + [inf] * m
         for j in range(1, m + 1):
-            a, b = value[i - 1], alias[j - 1]
-            doubled = (i > 1 and value[i - 2] == a) or (i < n and value[i] == a)
-            best = min(d[i - 1, j - 1] + (0 if a == b else SIMILAR if (a, b) in _ALIKE else OTHER), d[i - 1, j] + (DOUBLED if doubled else OTHER), d[i, j - 1] + LOST)
-            if i > 1 and j > 1 and a == alias[j - 2] and value[i - 2] == b and a != b:
-                best = min(best, d[i - 2, j - 2] + SWAP)
-            d[i, j] = best
-    return float(d[n, m])
+            b = alias[j - 1]
+            best = min(last[j - 1] + (0 if a == b else SIMILAR if (a, b) in _ALIKE else OTHER), last[j] + extra, row[j - 1] + LOST)
+            if i > 1 and j > 1 and a != b and a == alias[j - 2] and value[i - 2] == b:
+                best = min(best, before[j - 2] + SWAP)
+            row[j] = best
+        if min(row) > limit and min(last) > limit:  # no later cell can come back below it
+            return inf
+        before, last = last, row
+    return last[m]
 
 
-def _weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        costs = [0.0 if v == a else weighted_distance(v, a) for v, a in zip(b.column("form").to_pylist(), b.column("alias").to_pylist())]
-        yield pa.RecordBatch.from_arrays([b.column("form"), b.column("ref_id"), pa.array(costs, pa.float64())], names=["form", "ref_id", "cost"])
+def _weigh(limit: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            costs = np.array([weighted_distance(v, a, limit) for v, a in zip(b.column("form").to_pylist(), b.column("alias").to_pylist())], np.float64)
+            keep = pa.array(costs <= limit)
+            yield pa.RecordBatch.from_arrays([b.column("form").filter(keep), b.column("ref_id").filter(keep), pa.array(costs).filter(keep)], names=["form", "ref_id", "cost"])
+
+    return run
 
 
-def match_forms(forms: DataFrame, reference: DataFrame, id_col: str, name_col: str) -> DataFrame:
+def match_forms(forms: DataFrame, reference: DataFrame, id_col: str, name_col: str, depth: int = 1, limit: float = LIMIT) -> DataFrame:
     """(form, ref_id, cost) of every distinct (form, n) that an entry matches; n is the number of rows of the form."""
     listed = reference.select(F.col(id_col).cast("long").alias("ref_id"), F.col(name_col).alias("name")).where("ref_id IS NOT NULL AND name IS NOT NULL")
-    small = listed.limit(BROADCAST_ENTRIES + 1).count() <= BROADCAST_ENTRIES
     aliases = listed.mapInArrow(_alias_rows, "ref_id long, alias string")
-    keyed = aliases.select("ref_id", "alias", F.explode(keys_of(F.col("alias"))).alias("key"))
-    asked = forms.select("form", F.explode(keys_of(F.col("form"))).alias("key"))
-    pairs = asked.join(F.broadcast(keyed) if small else keyed, "key").select("form", "alias", "ref_id").distinct()
-    costs = cut_lineage(pairs.mapInArrow(_weigh, "form string, ref_id long, cost double").where(F.col("cost") <= LIMIT).groupBy("form", "ref_id").agg(F.min("cost").alias("cost")))
+    keyed = written(aliases.select("ref_id", "alias", F.explode(keys_of(F.col("alias"), depth)).alias("key")))
+    small = keyed.count() <= BROADCAST_KEYS
+    asked = forms.select("form", F.explode(keys_of(F.col("form"), depth)).alias("key"))
+    pairs = asked.join(F.broadcast(keyed) if small else keyed.hint("merge"), "key").select("form", "alias", "ref_id")
+    spark = forms.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    pairs = pairs.repartition(tasks, "form").distinct()  # few bytes but much work: as many tasks as there are, by form
+    costs = cut_lineage(pairs.mapInArrow(_weigh(limit), "form string, ref_id long, cost double").groupBy("form", "ref_id").agg(F.min("cost").alias("cost")))
     exact = costs.where("cost = 0").join(forms, "form").groupBy("ref_id").agg(F.sum("n").alias("named"))
     ranked = costs.join(exact, "ref_id", "left").withColumn("named", F.coalesce("named", F.lit(0)))
     return ranked.groupBy("form").agg(F.min_by(F.struct("ref_id", "cost"), F.struct("cost", -F.col("named"), "ref_id")).alias("best")).select("form", "best.*")
 
 
-def map_to_reference(values: DataFrame, reference: DataFrame, id_col: str, name_col: str) -> DataFrame:
+def map_to_reference(values: DataFrame, reference: DataFrame, id_col: str, name_col: str, depth: int = 1, limit: float = LIMIT) -> DataFrame:
     """(kind, id, pos, value, ref_id, cost) of every non-blank value; ref_id 0 and null cost for a miss.
 
-    values: (kind, id, pos, value).
+    values: (kind, id, pos, value). depth: deletions on either side; limit: the dearest match.
     """
     base = values.where(F.col("id").isNotNull() & F.col("value").isNotNull() & (F.regexp_replace("value", "[\\s\\u00a0\\u3000]", "") != ""))
     base = base.select("kind", "id", "pos", "value", cleaned(F.col("value")).alias("form"))
     forms = cut_lineage(base.groupBy("form").agg(F.count(F.lit(1)).alias("n")))
-    matched = match_forms(forms, reference, id_col, name_col)
+    matched = match_forms(forms, reference, id_col, name_col, depth, limit)
     return base.join(matched, "form", "left").select("kind", "id", "pos", "value", F.coalesce("ref_id", F.lit(0)).cast("long").alias("ref_id"), "cost")
 
 
