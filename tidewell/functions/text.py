@@ -88,14 +88,18 @@ def characters(c: Column) -> Column:
 
 def ngrams(c: Column, n: int = 2) -> Column:
     """Distinct runs of n characters; a shorter text is its own only run, '' has none."""
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c) - n + 1)), lambda i: F.substring(c, i, F.lit(n)))
-    return F.when(F.length(c) > n, F.array_distinct(runs)).when(F.length(c) > 0, F.array(c)).otherwise(F.array().cast("array<string>"))
+    # a text is bound once; its characters are split once, as each substring would count from the start again
+    def of(t: Column) -> Column:
+        runs = F.transform(F.array(F.split(t, "")), lambda ch: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(ch) - n + 1)), lambda i: F.array_join(F.slice(ch, i, n), "")))[0]
+        return F.when(F.length(t) > n, F.array_distinct(runs)).when(F.length(t) > 0, F.array(t)).otherwise(F.array().cast("array<string>"))
+
+    return F.transform(F.array(c), of)[0]
 
 
 def jaccard(a: Column, b: Column, empty: float = 0.0) -> Column:
     """Jaccard similarity of two arrays of distinct items; `empty` if both are empty, 0 if one is."""
-    # an array of one struct binds the three numbers, so that neither set is built again for the union
-    sizes = F.array(F.struct(F.size(F.array_intersect(a, b)).alias("both"), (F.size(a) + F.size(b)).alias("sum")))
+    # arrays of one struct bind the sets and then their sizes, so that each is worked out once
+    sizes = F.transform(F.array(F.struct(a.alias("a"), b.alias("b"))), lambda x: F.struct(F.size(F.array_intersect(x["a"], x["b"])).alias("both"), (F.size(x["a"]) + F.size(x["b"])).alias("sum")))
     return F.transform(sizes, lambda s: F.when(s["sum"] == 0, F.lit(empty)).otherwise(s["both"] / (s["sum"] - s["both"])))[0]
 
 

@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.functions.text import contains_any, excerpt_of, first_matched, matched_terms
+from tidewell.functions.text import contains_any, first_matched, matched_terms
 from tidewell.functions.urls import in_domains
 
 
@@ -36,14 +36,17 @@ def decide_source(host: Column, text: Column, rules: list[SourceRule], default:
 
 def rule_rows(df: DataFrame, id_col: str, text_col: str, rules: list[tuple[str, str, list[str], float]], margin: int = 28) -> DataFrame:
     """(id, rule_id, label, term, excerpt, confidence): the first term of each rule (id, label, terms, confidence) in each text."""
+    low = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.lower(F.col(text_col)).alias("low"))
     rows = []
     for rule_id, label, terms, confidence in rules:
-        term = first_matched(F.col(text_col), terms)
-        around = F.lit("")
+        term = F.lit("")
         for t in reversed(terms):
-            around = F.when(term == t, excerpt_of(F.col(text_col), t, margin)).otherwise(around)
-        rows.append(F.struct(F.lit(rule_id).alias("rule_id"), F.lit(label).alias("label"), term.alias("term"), around.alias("excerpt"), F.lit(confidence).alias("confidence")))
-    return df.select(F.col(id_col).alias("id"), F.explode(F.array(*rows)).alias("r")).select("id", "r.*").where("term <> ''")
+            term = F.when(F.contains("low", F.lit(t.lower())), t).otherwise(term)
+        rows.append(F.struct(F.lit(rule_id).alias("rule_id"), F.lit(label).alias("label"), term.alias("term"), F.lit(confidence).alias("confidence")))
+    hits = low.select("id", "text", F.explode(F.filter(F.array(*rows), lambda r: r["term"] != "")).alias("r")).select("id", "text", "r.*")
+    at = hits.withColumn("at", F.call_function("instr", F.col("text"), F.col("term")))
+    start = F.greatest(F.lit(1), F.col("at") - margin)
+    return at.select("id", "rule_id", "label", "term", F.when(F.col("at") > 0, F.substring("text", start, F.col("at") - start + F.length("term") + margin)).otherwise("").alias("excerpt"), "confidence")
 
 
 def group_hits(text: Column, groups: dict[str, list[str]], most: int | None = None) -> Column:

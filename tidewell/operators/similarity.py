@@ -9,36 +9,43 @@ from tidewell.functions.text import SPACE, characters
 
 
 def _sets(df: DataFrame, group: str, id_col: str, text: str) -> DataFrame:
+    """(grp, id, chars, key): rows with a character; key tells their sets apart."""
     chars = characters(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), f"{SPACE}+", ""))
-    return df.select(F.col(group).alias("grp"), F.col(id_col).alias("id"), chars.alias("chars")).where(F.size("chars") > 0)
+    sets = df.select(F.col(group).alias("grp"), F.col(id_col).alias("id"), F.array_sort(chars).alias("chars")).where(F.size("chars") > 0)
+    return sets.withColumn("key", F.array_join("chars", ""))
 
 
 def _prefixes(sets: DataFrame, frequency: DataFrame, threshold: float) -> DataFrame:
-    """(grp, id, n, char): the rarest characters of each set, as many as two sets this similar can't all lack."""
-    ranked = sets.select("grp", "id", F.size("chars").alias("n"), F.explode("chars").alias("char")).join(frequency, "char")
-    order = ranked.groupBy("grp", "id", "n").agg(F.array_sort(F.collect_list(F.struct("f", "char"))).alias("c"))
+    """(grp, key, n, char): the rarest characters of each set, as many as two sets this similar can't all lack."""
+    ranked = sets.select("grp", "key", F.size("chars").alias("n"), F.explode("chars").alias("char")).join(frequency, "char")
+    order = ranked.groupBy("grp", "key", "n").agg(F.array_sort(F.collect_list(F.struct("f", "char"))).alias("c"))
     length = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1
-    return order.select("grp", "id", "n", F.explode(F.slice("c", F.lit(1), length.cast("int"))["char"]).alias("char"))
+    return order.select("grp", "key", "n", F.explode(F.slice("c", F.lit(1), length.cast("int"))["char"]).alias("char"))
 
 
 def similar_pairs(left: DataFrame, right: DataFrame, group: str, id_col: str, text: str, threshold: float) -> DataFrame:
     """(grp, g, p, similarity) of all pairs of one group whose character Jaccard reaches the threshold.
 
-    Prefix filtering: characters are ordered from rare to frequent, and two sets of Jaccard t or more share one of the
-    first n - ceil(t n) + 1 characters of each. Only rows that share such a character, and whose sizes allow t, meet,
-    so a group that holds a third of all rows isn't paired with itself. No pair at the threshold is lost.
+    Rows of one group with the same set of characters are folded first: they meet as one, and are unfolded in the
+    result alone. Prefix filtering: characters are ordered from rare to frequent, and two sets of Jaccard t or more
+    share one of the first n - ceil(t n) + 1 characters of each. Only sets that share such a character, and whose sizes
+    allow t, meet; their sizes and sets come along, so the meeting decides and nothing is joined again. No pair at the
+    threshold is lost.
     """
     if threshold <= 0:
         raise ValueError("a similarity join needs a threshold above 0")
     a, b = _sets(left, group, id_col, text), _sets(right, group, id_col, text)
-    frequency = a.unionByName(b).select(F.explode("chars").alias("char")).groupBy("char").agg(F.count(F.lit(1)).alias("f"))  # one row for each character
-    x = _prefixes(a, frequency, threshold).select("grp", "char", F.col("id").alias("g"), F.col("n").alias("gn"))
-    y = _prefixes(b, frequency, threshold).select("grp", "char", F.col("id").alias("p"), F.col("n").alias("pn"))
-    near = x.join(y, ["grp", "char"]).where((F.col("gn") >= F.col("pn") * threshold - 1e-9) & (F.col("pn") >= F.col("gn") * threshold - 1e-9)).select("grp", "g", "p").distinct()
-    both = near.join(a.select("grp", F.col("id").alias("g"), F.col("chars").alias("gc")), ["grp", "g"]).join(b.select("grp", F.col("id").alias("p"), F.col("chars").alias("pc")), ["grp", "p"])
-    shared = F.size(F.array_intersect("gc", "pc"))
-    value = F.round(shared / (F.size("gc") + F.size("pc") - shared), 6)
-    return both.select("grp", "g", "p", value.alias("similarity")).where(F.col("similarity") >= threshold)
+    u, v = (d.select("grp", "key", "chars").distinct() for d in (a, b))
+    frequency = u.unionByName(v).select(F.explode("chars").alias("char")).groupBy("char").agg(F.count(F.lit(1)).alias("f"))  # one row for each character
+    x = _prefixes(u, frequency, threshold).select("grp", "char", F.col("key").alias("gk"), F.col("n").alias("gn"))
+    y = _prefixes(v, frequency, threshold).select("grp", "char", F.col("key").alias("pk"), F.col("n").alias("pn"))
+    near = x.join(y, ["grp", "char"]).where((F.col("gn") >= F.col("pn") * threshold - 1e-9) & (F.col("pn") >= F.col("gn") * threshold - 1e-9)).select("grp", "gk", "pk", "gn", "pn").distinct()
+    # a key holds each of its characters once, so what is left of it without the other's characters tells the overlap
+    shared = F.col("gn") - F.length(F.call_function("translate", F.col("gk"), F.col("pk"), F.lit("")))
+    value = F.round(shared / (F.col("gn") + F.col("pn") - shared), 6)
+    held = near.select("grp", "gk", "pk", value.alias("similarity")).where(F.col("similarity") >= threshold)
+    both = held.join(a.select("grp", F.col("key").alias("gk"), F.col("id").alias("g")), ["grp", "gk"]).join(b.select("grp", F.col("key").alias("pk"), F.col("id").alias("p")), ["grp", "pk"])
+    return both.select("grp", "g", "p", "similarity")
 
 
 def near_pairs(df: DataFrame, group: str, id_col: str, text: str, threshold: float) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,7 +13,9 @@ from tidewell.plans.catalog import CLAIMS, EVENTS, EVIDENCE, GOLD, query
 from tidewell.plans.evidence_queries import _RELEVANCE, _STAGE, STAGES, relevance_rows, stage_rows
 from tidewell.plans.relation_queries import _BLANK, _SET, _claims, _gold
 from tidewell.plans.text_queries import _STRIP
+from tidewell.session import ensure_checkpoint_dir
 from tidewell.sources.tables import table
+from tidewell.streaming.ingest import ingest_new, windowed_counts
 
 POSITIVE, INFERRED, MEDIA, OFFICIAL = ["支持", "认可", "满意"], ["担心", "质疑", "希望"], ["媒体", "日报", "晚报"], ["政府", "局", "委员会"]
 ALIASES = {"住建": ["住房建设局", "住建局"], "教育": ["教育局", "学校"], "监管": ["市场监管", "监管部门"], "官方": ["通报", "部门"], "学生": ["同学", "学生"]}
@@ -378,6 +382,34 @@ def chain_confidence_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score.chain_confidence_full(top, "event_id", CORE, len(STAGES))
 
 
+# --- streams
+
+
+@query(f"SELECT evidence_id, min(ingested_at) AS ingested_at FROM {EVIDENCE} GROUP BY evidence_id")
+def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages taken in by a stream, each the first time it comes."""
+    pages = table(spark, sf_dir, EVIDENCE).select("evidence_id", "ingested_at")
+    folder = f"{ensure_checkpoint_dir(spark)}/ingest-{uuid.uuid4().hex}"
+    pages.write.parquet(f"{folder}/source")
+    ingest_new(spark, f"{folder}/source", pages.schema, f"{folder}/target", f"{folder}/checkpoint", F.col("evidence_id"), ["ingested_at"])
+    return spark.read.parquet(f"{folder}/target").select("evidence_id", "ingested_at")
+
+
+@query(f"SELECT source_type, time_bucket(INTERVAL 30 DAY, ingested_at, TIMESTAMP '1970-01-01 00:00:00') AS begins, count(*) AS n FROM {EVIDENCE} WHERE ingested_at IS NOT NULL GROUP BY ALL")
+def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages by source type and window of thirty days, counted by a stream with a watermark that no row is later than."""
+    pages = table(spark, sf_dir, EVIDENCE).select("source_type", F.col("ingested_at").cast("timestamp").alias("ingested_at")).where("ingested_at IS NOT NULL")
+    folder = f"{ensure_checkpoint_dir(spark)}/windows-{uuid.uuid4().hex}"
+    pages.write.parquet(f"{folder}/source")
+    counts = windowed_counts(spark.readStream.schema(pages.schema).parquet(f"{folder}/source"), "ingested_at", ["source_type"], "30 days", "3650 days")
+
+    def keep(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/counts")
+
+    counts.select("source_type", F.col("window.start").alias("begins"), "n").writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/counts").withColumn("begins", F.col("begins").cast("timestamp_ntz"))
+
+
 # --- metrics, graphs and audits
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidewell.functions import text, urls
 from tidewell.operators import aggregate, classify, score, select
 from tidewell.plans.catalog import CLAIMS, EVENTS, EVIDENCE, query
+from tidewell.session import spread
 from tidewell.sources.tables import table
 
 OFFICIAL, NEWS, SOCIAL = ["m.gadogi1.example", "news.tufine7.example"], ["m.meteru0.example", "live.siletu6.example"], ["m.razole3.example"]
@@ -106,7 +107,7 @@ def source_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def rule_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First matching term of each rule in each page, with its surroundings."""
-    return classify.rule_rows(table(spark, sf_dir, EVIDENCE).where("text IS NOT NULL"), "evidence_id", "text", RULES).drop("confidence")
+    return classify.rule_rows(spread(table(spark, sf_dir, EVIDENCE).where("text IS NOT NULL").select("evidence_id", "text")), "evidence_id", "text", RULES).drop("confidence")
 
 
 @query(

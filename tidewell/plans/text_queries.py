@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewell.functions import cells, text, urls
 from tidewell.plans.catalog import CLAIMS, EVIDENCE, EVENTS, GOLD, query
+from tidewell.session import spread
 from tidewell.sources.tables import table
 
 _SPACE = r"[\s\x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -88,7 +89,7 @@ def _jaccard(a: str, b: str) -> str:
 def text_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Character and character-pair Jaccard similarity of opinion and rationale."""
     o, r = F.col("opinion"), F.col("rationale")
-    return table(spark, sf_dir, CLAIMS).select("tuple_id", "loaded_at", F.round(text.char_jaccard(o, r), 6).alias("char_similarity"), F.round(text.bigram_jaccard(o, r), 6).alias("pair_similarity"))
+    return spread(table(spark, sf_dir, CLAIMS).select("tuple_id", "loaded_at", "opinion", "rationale")).select("tuple_id", "loaded_at", F.round(text.char_jaccard(o, r), 6).alias("char_similarity"), F.round(text.bigram_jaccard(o, r), 6).alias("pair_similarity"))
 
 
 @query(

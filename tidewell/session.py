@@ -37,6 +37,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if current.isDefined():
         return current.get()
     named = sc.getConf().get("spark.checkpoint.dir", None)
+    if not named and not (sc.master.startswith("local[") or sc.master == "local"):
+        raise RuntimeError("on a cluster spark.checkpoint.dir must name a folder that all executors share")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tidewell-"))
     return sc._jsc.sc().getCheckpointDir().get()
 

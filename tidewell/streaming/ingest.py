@@ -1,33 +1,43 @@
-"""Incremental ingest: file source, first-wins dedupe against the output table, resume by checkpoint."""
+"""Incremental ingest: file source, first-wins dedupe by keys kept in the stream's state, resume by checkpoint."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from typing import Any
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-
-from tidewell.operators.dedupe import first_wins
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def ingest_new(spark: SparkSession, source: str, schema, target: str, checkpoint: str, key: Column, order: list[str], files_per_batch: int = 100) -> None:
-    """Reads all new Parquet files of `source` and appends the rows whose key `target` doesn't hold yet.
+    """Reads all new Parquet files of `source` and adds the rows whose key came in no earlier batch to `target`.
 
-    A run that was stopped goes on where its checkpoint says; a batch that was written before the checkpoint was is
-    found in the target by its keys and adds nothing twice.
+    Of a batch's rows of one new key the first by `order` counts. The keys are the stream's state, one flag each, so no
+    batch reads what others have written; with very many keys the session should keep state in RocksDB
+    (spark.sql.streaming.stateStore.providerClass). A batch is written to a folder of its own, `batch=<id>`, which a
+    repeated run of it overwrites: a run that was stopped goes on where its checkpoint says and adds nothing twice.
+    Rows with a null key are one key.
     """
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
+    columns = stream.columns
+
+    def fresh(_: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        best = None
+        for part in parts:
+            if not state.exists:
+                best = (part if best is None else pd.concat([best, part])).sort_values(order, kind="stable").head(1)
+        if best is not None:
+            state.update((True,))
+            yield best[columns]
+
+    kept = stream.withColumn("ingest_key", key.cast("string")).groupBy("ingest_key").applyInPandasWithState(fresh, stream.schema, "seen boolean", "append", GroupStateTimeout.NoTimeout)
+
+    def add(batch: DataFrame, number: int) -> Any:
+        batch.withColumn("ingest_key", F.xxhash64(key)).write.mode("overwrite").parquet(f"{target}/batch={number}")
 
-    def add(batch: DataFrame, _: int) -> None:
-        fresh = first_wins(batch, key, order).withColumn("ingest_key", F.xxhash64(key))
-        try:
-            seen = batch.sparkSession.read.parquet(target).select("ingest_key")
-            fresh = fresh.join(seen, "ingest_key", "left_anti")
-        except Exception as e:  # noqa: BLE001 - only a missing target is fine
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-        fresh.write.mode("append").parquet(target)
-
-    query = stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
+    kept.writeStream.outputMode("append").foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
 def windowed_counts(stream: DataFrame, time_col: str, keys: list[str], width: str, late: str) -> DataFrame:
