@@ -432,18 +432,54 @@ def best_soft_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.best_match(_gold(spark, sf_dir), _claims(spark, sf_dir), "event_id", "id", "opinion", 0.5)
 
 
-@query()
+def _sides(gold: str, claims: str, value: str) -> str:
+    """CTEs g and p: ids with their event and set of characters."""
+    side = lambda t, i, a: f"(SELECT {i} AS id, min(event_id) AS event_id, {_SET(f'min({value})')} AS {a} FROM {t} WHERE {value} IS NOT NULL GROUP BY {i})"
+    return f"g AS {side(gold, 'candidate_id', 'a')}, p AS {side(claims, 'tuple_id', 'b')}"
+
+
+def _greedy(cell: str, source: str, condition: str) -> str:
+    """Recursive CTEs that go through the pairs of each cell from the most similar down; `taken` has each side's ids."""
+    similarity = "round(len(list_intersect(a, b))::DOUBLE / len(list_distinct(list_concat(a, b))), 6)"
+    return f"""x AS (SELECT g.event_id, g.id AS g, p.id AS p, {similarity} AS similarity FROM g JOIN p ON g.event_id = p.event_id WHERE len(a) > 0 AND len(b) > 0), y AS (SELECT {cell} AS cell, g, p, similarity FROM {source} WHERE {condition}),
+    r AS (SELECT *, row_number() OVER (PARTITION BY cell ORDER BY similarity DESC, g, p) AS k FROM y),
+    w AS (SELECT cell, 0::BIGINT AS k, []::VARCHAR[] AS gs, []::VARCHAR[] AS ps FROM (SELECT DISTINCT cell FROM r) UNION ALL SELECT w.cell, r.k, CASE WHEN list_contains(gs, r.g) OR list_contains(ps, r.p) THEN gs ELSE list_append(gs, r.g) END, CASE WHEN list_contains(gs, r.g) OR list_contains(ps, r.p) THEN ps ELSE list_append(ps, r.p) END FROM w JOIN r ON r.cell = w.cell AND r.k = w.k + 1),
+    taken AS (SELECT cell, arg_max(gs, k) AS gs, arg_max(ps, k) AS ps FROM w GROUP BY cell)"""
+
+
+_SCORES = """round(CASE WHEN n_pred = 0 THEN 0.0 ELSE tp / n_pred END, 4) AS precision, round(CASE WHEN n_gold = 0 THEN 0.0 ELSE tp / n_gold END, 4) AS recall, CASE WHEN tp = 0 THEN 0.0 ELSE round(2 * (tp / n_pred) * (tp / n_gold) / (tp / n_pred + tp / n_gold), 4) END AS f1"""
+
+
+@query(
+    f"""WITH RECURSIVE {_sides(GOLD, CLAIMS, 'opinion')}, {_greedy('event_id', 'x', 'similarity >= 0.5')},
+    n AS (SELECT (SELECT coalesce(sum(len(gs)), 0)::BIGINT FROM taken) AS tp, (SELECT count(*) FROM g) AS n_gold, (SELECT count(*) FROM p) AS n_pred) SELECT tp, n_gold, n_pred, {_SCORES} FROM n"""
+)
 def greedy_match_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One-to-one soft F1; greedy matching is sequential, so it has no SQL."""
+    """One-to-one soft F1, pairs taken from the most similar down."""
     return metrics.soft_f1(_gold(spark, sf_dir), _claims(spark, sf_dir), "event_id", "id", "opinion")
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {_sides(GOLD, CLAIMS, 'opinion')}, t AS (SELECT unnest([0.3e0, 0.5e0, 0.7e0]) AS threshold), {_greedy("event_id || '|' || threshold", 'x, t', 'similarity >= threshold')}
+    SELECT string_split(cell, '|')[2]::DOUBLE AS threshold, sum(len(gs))::BIGINT AS tp FROM taken GROUP BY 1"""
+)
 def metric_sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One-to-one matches at several thresholds."""
     return metrics.sensitivity(_gold(spark, sf_dir), _claims(spark, sf_dir), "event_id", "id", "opinion", [0.3, 0.5, 0.7])
 
 
+@query(
+    f"""WITH RECURSIVE {_sides(GOLD, CLAIMS, 'opinion')}, {_greedy('event_id', 'x', 'similarity >= 0.5')}, m AS (SELECT unnest(gs) AS g, unnest(ps) AS p FROM taken),
+    s AS (SELECT candidate_id AS id, min(sentiment) AS s FROM {GOLD} WHERE opinion IS NOT NULL GROUP BY 1), q AS (SELECT tuple_id AS id, min(sentiment) AS s FROM {CLAIMS} WHERE opinion IS NOT NULL GROUP BY 1)
+    SELECT count(*) AS n, count(*) FILTER (s.s IS NOT DISTINCT FROM q.s) AS n_right, round(CASE WHEN count(*) = 0 THEN 0.0 ELSE count(*) FILTER (s.s IS NOT DISTINCT FROM q.s) / count(*) END, 4) AS sentiment_accuracy FROM m JOIN s ON s.id = m.g JOIN q ON q.id = m.p"""
+)
+def matched_sentiment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often the sentiments of one-to-one matched rows agree."""
+    g, p = _gold(spark, sf_dir), _claims(spark, sf_dir)
+    matched = metrics.greedy_pairs(metrics.similar_pairs(g, p, "event_id", "id", "opinion", 0.5), "grp").select("g", "p")
+    return metrics.sentiment_accuracy(matched, g, p, "id", "sentiment")
+
+
 _LABELS = ["supported", "partially_supported", "insufficient_evidence"]
 
 
