@@ -31,3 +31,19 @@ def test_pairs(spark):
     forms = {r["id"]: r["canonical"] for r in canonical_texts(df, "doc_id", "text").collect()}
     assert forms[1] == forms[2] == forms[3] == forms[4] == "Notice 12" and forms[5] == "notice 12" and forms[6] is None and forms[7] == ""
     assert lookalike_pairs(df.limit(0), "doc_id", "text").count() == 0
+
+
+def test_hot_copies_are_paired_in_shares(spark):
+    rows = [(i, "a b") for i in range(2300)] + [(5000, "a b"), (5001, "a b"), (5002, "c")]
+    got = lookalike_pairs(spark.createDataFrame(rows, "n long, body string"), "n", "body")
+    assert got.count() == got.distinct().count() == 2 * 2300
+
+
+def test_planted_readings(spark):
+    """Words with look-alike letters of another script put in are read back, by bigrams of the other words."""
+    words = {"L": ["parade", "opera", "cascade", "payer", "copper", "escape"], "C": ["собака", "дорога", "корова", "погода"]}
+    clean = [(i, " ".join(ws)) for i, ws in enumerate([words["L"], words["C"]] * 20)]
+    mixed = {"раrаde": "parade", "оpеrа": "opera", "coбaкa": "собака", "дopoгa": "дорога", "саsсаdе": "cascade", "кoрoвa": "корова"}
+    df = spark.createDataFrame(clean + [(1000 + i, w) for i, w in enumerate(mixed)], "n long, body string")
+    got = {r["id"]: r["canonical"] for r in canonical_texts(df, "n", "body").where("id >= 1000").collect()}
+    assert [got[1000 + i] for i in range(len(mixed))] == list(mixed.values())

@@ -39,6 +39,9 @@ BLANKS = "    　"
 #: Cost of a change of script within a word, in nats.
 SWITCH = 12.0
 
+#: Copies of one text that one task attaches to a pair.
+SHARE = 1000
+
 _TO_CLASS = {ord(c): s[0] for s in SHAPES for c in s[1:]}
 _MAP = {**{ord(c): None for c in IGNORABLE}, **{ord(c): " " for c in BLANKS}, **{c: chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)}}
 _TABLE = {**_MAP, **_TO_CLASS}
@@ -157,7 +160,12 @@ def lookalike_pairs(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     keys = cut_lineage(_apply(df, id_col, text_col, keys=True).where("look IS NOT NULL AND exact IS NOT NULL"))
     texts = keys.select("look", "exact").distinct()
     pairs = texts.alias("a").join(texts.alias("b"), "look").where("a.exact < b.exact").select("look", F.col("a.exact").alias("exact_a"), F.col("b.exact").alias("exact_b"))
+    # the copies of a text stand in shares, so that no task attaches all of a hot one's
+    share = F.pmod(F.xxhash64("id"), F.col("shares")).cast("int")
+    sized = keys.groupBy("look", "exact").agg(F.ceil(F.count(F.lit(1)) / SHARE).cast("int").alias("shares"))
+    pairs = pairs.join(sized.select("look", F.col("exact").alias("exact_b"), "shares"), ["look", "exact_b"])
     left = keys.select("look", F.col("exact").alias("exact_a"), F.col("id").alias("x"))
-    right = keys.select("look", F.col("exact").alias("exact_b"), F.col("id").alias("y"))
-    both = pairs.join(left, ["look", "exact_a"]).join(right, ["look", "exact_b"])
+    to_all = pairs.join(left, ["look", "exact_a"]).select("look", "exact_b", "x", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"))
+    right = keys.join(sized, ["look", "exact"]).select("look", F.col("exact").alias("exact_b"), share.alias("share"), F.col("id").alias("y"))
+    both = to_all.join(right, ["look", "exact_b", "share"])
     return both.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).where("id_a <> id_b")

@@ -13,7 +13,7 @@ from tidewell.llm.lines import NARROW, WIDE, once, site_of
 from tidewell.llm.lookalike import canonical_texts, lookalike_pairs
 from tidewell.llm.nearduplicates import near_duplicate_groups, near_duplicates
 from tidewell.llm.packing import pack
-from tidewell.llm.repeats import repeated_lines, without_lines
+from tidewell.llm.repeats import repeat_tests, repeated_lines, without_lines
 from tidewell.llm.tokenize import encode_texts
 from tidewell.llm.truncation import judged_values, truncated, truncation_rates
 from tidewell.session import cut_lineage
@@ -55,6 +55,12 @@ def p3_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_lines(once(pages, "evidence_id", ["text"], "ingested_at"), "evidence_id", "text", found)
 
 
+def p3_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many (site, line) hypotheses were tested, are significant, and go."""
+    tests = repeat_tests(table(spark, sf_dir, EVIDENCE), "evidence_id", "text", site_of(F.col("domain")), "ingested_at")
+    return tests.groupBy("tested", "significant", "excess").agg(F.count(F.lit(1)).alias("n"), F.min("k1").alias("least_records"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of records that are nearly the same."""
     found = near_duplicates(table(spark, sf_dir, EVIDENCE), "evidence_id", "title", "text", "ingested_at", 0.6)
@@ -155,6 +161,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_clean": p1_clean,
     "p3_found": p3_found,
     "p3_clean": p3_clean,
+    "p3_tests": p3_tests,
     "p4_found": p4_found,
     "p4_misses": p4_misses,
     "p5_found": p5_found,

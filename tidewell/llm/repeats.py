@@ -52,8 +52,12 @@ def _bar(tests: DataFrame, m: int, alpha: float) -> float:
     return float("inf") if least is None else least * BIN
 
 
-def excess_lines(records: DataFrame, min_records: int, min_share: float, alpha: float) -> DataFrame:
-    """(source, lines array<bigint>): the excess lines of each source. records: (id, source, lines) with unique ids."""
+def line_tests(records: DataFrame, min_records: int, min_share: float, alpha: float) -> DataFrame:
+    """(source, key, k1, n1, own, usual, tested, significant, excess): the test of each line in min_records records.
+
+    own and usual are the ratios against the line's and an ordinary line's rate outside; tested: whether there is enough
+    outside the source for the test; excess: whether the line goes. records: (id, source, lines) with unique ids.
+    """
     known = records.where("source IS NOT NULL")
     sizes = known.groupBy("source").agg(F.count(F.lit(1)).alias("n1"))
     n_all = sizes.agg(F.coalesce(F.sum("n1"), F.lit(0))).first()[0]
@@ -69,25 +73,43 @@ def excess_lines(records: DataFrame, min_records: int, min_share: float, alpha:
     outside = F.least(F.lit(ordinary), n2 * 0.01)
     usual = log_likelihood(F.col("k1"), F.col("n1"), outside, n2)
     least = log_likelihood(F.greatest(F.lit(min_records), F.ceil(F.col("n1") * min_share - 1e-9)), F.col("n1"), outside, n2)
-    tests = cut_lineage(tests.select("source", "key", "k1", "n1", F.greatest(own, usual).alias("g"), least.alias("least")))
+    tests = cut_lineage(tests.select("source", "key", "k1", "n1", own.alias("own"), usual.alias("usual"), F.greatest(own, usual).alias("g"), least.alias("least")))
     bar = _bar(tests, m, alpha)
-    kept = tests.where(((F.col("g") >= bar) | (F.col("least") < bar)) & (F.col("k1") >= F.col("n1") * min_share - 1e-9))
-    return kept.groupBy("source").agg(F.collect_set("key").alias("excess"))
+    floors = F.col("k1") >= F.col("n1") * min_share - 1e-9
+    significant, tested = F.col("g") >= bar, F.col("least") >= bar
+    return tests.select("source", "key", "k1", "n1", "own", "usual", tested.alias("tested"), significant.alias("significant"), ((significant | ~tested) & floors).alias("excess"))
+
+
+def excess_lines(records: DataFrame, min_records: int, min_share: float, alpha: float) -> DataFrame:
+    """(source, excess array<bigint>): the excess lines of each source. records: (id, source, lines) with unique ids."""
+    return line_tests(records, min_records, min_share, alpha).where("excess").groupBy("source").agg(F.collect_set("key").alias("excess"))
+
+
+def _records(df: DataFrame, id_col: str, text_col: str, source: Column, order_col: str | None) -> DataFrame:
+    rows = df.select(F.col(id_col).alias("id"), source.alias("source"), line_keys(F.col(text_col)).alias("lines"), *([F.col(order_col).alias("at")] if order_col else []))
+    return cut_lineage(once(rows, "id", ["source", "lines"], "at" if order_col else None))
+
+
+def repeat_tests(df: DataFrame, id_col: str, text_col: str, source: Column, order_col: str | None = None, min_records: int = 5, min_share: float = 0.05, alpha: float = 0.01) -> DataFrame:
+    """`line_tests` of a table's records."""
+    return line_tests(_records(df, id_col, text_col, source, order_col), min_records, min_share, alpha)
 
 
 def repeated_lines(df: DataFrame, id_col: str, text_col: str, source: Column, order_col: str | None = None, min_records: int = 5, min_share: float = 0.05, alpha: float = 0.01) -> DataFrame:
     """(id, line_no) of every non-blank line that its source repeats excessively."""
-    rows = df.select(F.col(id_col).alias("id"), source.alias("source"), line_keys(F.col(text_col)).alias("lines"), *([F.col(order_col).alias("at")] if order_col else []))
-    records = cut_lineage(once(rows, "id", ["source", "lines"], "at" if order_col else None))
+    records = _records(df, id_col, text_col, source, order_col)
     hits = records.join(excess_lines(records, min_records, min_share, alpha), "source")
-    return hits.select("id", F.explode(F.filter("lines", lambda x: F.array_contains("excess", x["key"]))["no"]).alias("line_no"))
+    # what the record has of its source's lines is found by hashing; only these few are sought line by line
+    hits = hits.select("id", "lines", F.array_intersect("lines.key", "excess").alias("own")).where(F.size("own") > 0)
+    return hits.select("id", F.explode(F.filter("lines", lambda x: F.array_contains("own", x["key"]))["no"]).alias("line_no"))
 
 
 def without_lines(df: DataFrame, id_col: str, text_col: str, found: DataFrame) -> DataFrame:
     """df with the found (id, line_no) taken out of its texts, the rest reassembled by position."""
     gone = found.groupBy(F.col("id").alias("__id")).agg(F.collect_set("line_no").alias("__gone"))
     lines = F.split(F.col(text_col), "\n", -1)
-    # a filter with the position as second argument is the anti-join on (id, position), without exploding the texts
-    rest = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("__gone", (i + 1).cast("long"))), "\n")
+    # the positions that stay are a difference of sets: the anti-join on (id, position), without exploding the texts
+    stay = F.array_except(F.sequence(F.lit(1).cast("long"), F.size(lines).cast("long")), F.col("__gone"))
+    rest = F.array_join(F.transform(F.array(F.struct(lines.alias("l"), stay.alias("s"))), lambda x: F.transform(x["s"], lambda i: F.element_at(x["l"], i.cast("int"))))[0], "\n")
     out = df.join(gone, F.col(id_col) == F.col("__id"), "left")
     return out.withColumn(text_col, F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(rest)).drop("__id", "__gone")

@@ -21,7 +21,8 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.session import spread
@@ -108,8 +109,18 @@ class Codec:
 
 @lru_cache(maxsize=2)
 def codec(path: str) -> Codec:
-    """One vocabulary per worker process; workers are reused."""
-    return Codec(path)
+    """One vocabulary per worker process; workers are reused. The file comes with the job where the path isn't there."""
+    return Codec(path if Path(path).exists() else SparkFiles.get(Path(path).name))
+
+
+def shipped(spark: SparkSession, path: str) -> str:
+    """The path of a vocabulary, whose file goes to the executors with the job, once for each context."""
+    sc = spark.sparkContext
+    sent = sc.__dict__.setdefault("_tidewell_files", set())
+    if path not in sent:
+        sc.addFile(path)
+        sent.add(path)
+    return path
 
 
 def _lists(rows: list[np.ndarray]) -> pa.ListArray:
@@ -137,6 +148,7 @@ def encode_texts(df: DataFrame, id_col: str | Column, text_col: str | Column, pa
 
     Only texts over `leaf_chars` are shuffled, by leaf; their encodings, never their texts, meet again by id.
     """
+    path = shipped(df.sparkSession, path)
     as_col = lambda c: F.col(c) if isinstance(c, str) else c
     docs = spread(df.select(as_col(id_col).alias("id"), as_col(text_col).cast("string").alias("text")))
     kind = docs.schema["id"].dataType.simpleString()
