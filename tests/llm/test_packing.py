@@ -3,7 +3,7 @@ from collections import Counter
 
 import pytest
 
-from tidewell.llm.packing import MAX_CAPACITY, best_fit_runs, most_placed, pack
+from tidewell.llm.packing import MAX_CAPACITY, _segments, best_fit_runs, most_placed, pack, pack_runs, superstep
 
 
 def test_runs_fill_no_container_beyond_capacity():
@@ -56,4 +56,52 @@ def test_capacities_beyond_the_bound_are_refused(spark):
     df = spark.createDataFrame([(1, 30)], "id long, n int")
     for capacity in (0, -1, MAX_CAPACITY + 1):
         with pytest.raises(ValueError):
-            pack(df, "id", "n", capacity)
+            pack_runs(df, "id", "n", capacity)
+    with pytest.raises(ValueError):
+        pack(df, "id", "n", 0)
+    assert pack(df, "id", "n", MAX_CAPACITY + 1).count() == 1
+
+
+def test_runs_place_the_same_items(spark):
+    df = spark.createDataFrame([(1, 30), (2, 250), (5, 70), (5, 70), (7, -3)], "id long, n int")
+    key = lambda rows: sorted((r["id"], r["part_no"], r["start"], r["size"]) for r in rows)
+    assert key(pack_runs(df, "id", "n", 100).collect()) == key(pack(df, "id", "n", 100).collect())
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_a_sweep_over_partitions_is_one_sweep(spark, seed):
+    """share 1: each gap takes one document at most, as a single stack over all sizes would give it."""
+    rng = random.Random(seed)
+    rows = [(rng.randint(1, 40), 0, i) for i in range(120)] + [(rng.randint(1, 40), 1, 1000 + i) for i in range(80)]
+    left, placed, n = superstep(spark.createDataFrame(rows, "size int, kind int, ref long"), 7, 1.0)
+    size = {ref: s for s, _, ref in rows}
+    stack, want, open_gaps = [], Counter(), []
+    for s, kind, ref in sorted(rows):
+        if kind == 0:
+            stack.append(s)
+        elif stack:
+            want[stack.pop(), s] += 1
+        else:
+            open_gaps.append(s)
+    got = [tuple(r) for r in placed.collect()]
+    assert Counter((size[d], size[g]) for d, g in got) == want and len(got) == n == len({d for d, _ in got}) == len({g for _, g in got})
+    rest = Counter((r["kind"], r["size"]) for r in left.collect())
+    assert rest == Counter([(0, s) for s in stack] + [(1, s) for s in open_gaps] + [(1, g - d) for (d, g), k in want.items() for _ in range(k) if g > d])
+
+
+def test_ranks_meet_across_partitions():
+    assert _segments({(0, 1): 3, (1, 2): 1, (1, 1): 2, (3, 2): 4, (4, 2): 5}) == [(0, 0, 1, 0, 1), (1, 0, 3, 0, 2), (0, 1, 3, 2, 2)]
+
+
+def test_sweeps_fill_well_and_end(spark):
+    rng = random.Random(9)
+    cases = {"one size": [30] * 3000 + [71] * 50, "tiny": [rng.randint(1, 9) for _ in range(4000)], "mixed": [min(1000, int(rng.paretovariate(0.7) * 5)) for _ in range(3000)]}
+    for name, sizes in cases.items():
+        capacity = 1000 if name == "mixed" else 100
+        rows = pack(spark.createDataFrame(list(enumerate(sizes)), "id long, n int"), "id", "n", capacity).collect()
+        load = Counter()
+        for r in rows:
+            load[r["container_id"]] += r["size"]
+        best = best_fit_runs(list(Counter(sizes).items()), capacity)[1]
+        assert sorted(r["id"] for r in rows) == list(range(len(sizes))) and max(load.values()) <= capacity
+        assert len(load) <= best * 1.02 + 1, (name, len(load), best)

@@ -1,23 +1,17 @@
 """Filling containers of fixed capacity by bulk-synchronous best-fit.
 
-Documents and gaps are kept sorted by size as runs: all documents of one size form a run, and so do all containers
-with one gap. As sizes are whole numbers up to the capacity, there are at most `capacity` document runs however many
-documents there are. Supersteps go through the document runs from the largest down: the successor of the size among
-the gap runs is the best fit, conflicts over it are resolved by rank (the i-th documents of the run take the i-th
-containers of the gap run, as many each as the gap holds), gaps are updated, and the step repeats until the run is
-placed; what finds no gap opens containers. Ranks of the rows within their size come from counts per partition, so a
-size shared by a third of all rows stays spread over the tasks.
-
-Only the histogram of sizes and the list of placed runs pass through the driver, and both are bounded by the capacity C
-and not by the rows. Let there be D <= C document runs. A superstep takes one gap run. If it uses the run up, it leaves
-one run in its place, whose gap is the old one modulo the size and thus less than half of it; so a run is used up at
-most log2(C) + 1 times before its gap is 0. If it doesn't, it ends the document run and leaves at most three runs. So at
-most 3 D runs are ever made, there are at most D + 3 D (log2(C) + 1) supersteps, and each places at most two runs. With
-capacities above MAX_CAPACITY the list could pass 130 MB, so they are refused.
-
-Sweeps over the rows themselves, one document a gap and step, would need as many rounds of sorting all rows as the
-fullest container has documents, and resolve conflicts within a partition only; runs give the same best-fit order
-exactly.
+Each superstep sorts the documents still to be placed and the open gaps together by size, over all partitions, and
+matches them by a successor sweep: going up the sizes, documents are put on a stack and each gap takes the largest one
+below it. Within a partition a gap goes on taking the largest document that fits while more than `share` of it is left,
+so gaps shrink by a fixed factor a superstep and many small documents need few of them. What a partition leaves open is
+matched across partitions by rank: the counts of open documents and gaps of each partition, two numbers each, tell which
+ranks of which partitions meet, and a join on partition and rank brings them together. Then gaps are updated and the
+step repeats. A superstep that places nothing opens as many containers as the documents left would fill, and from then
+on gaps are filled at once. Sizes are sorted together with row numbers, so a size that a third of all rows share is
+split over the tasks. Only the counts and the number of what is left pass through the driver.
+
+`pack_runs` is an exact best-fit-decreasing for moderate capacities, over runs of equal size; it leaves a little less
+room unused, and goes through the runs one by one.
 
 Defined cases: null sizes and sizes of zero or less get no container; an item larger than the capacity is divided into
 full containers and one rest, which is placed like any other item; equal sizes and repeated ids are separate items;
@@ -26,21 +20,28 @@ an empty table gives an empty table.
 
 from __future__ import annotations
 
-from bisect import insort
+from bisect import bisect_right, insort
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewell.session import cut_lineage
+from tidewell.session import cut_lineage, written
 
 
 #: The largest capacity that `pack` takes.
 MAX_CAPACITY = 32_768
 
 
+#: Of a gap that goes on taking documents in one superstep, so much has to be left.
+SHARE = 0.25
+#: Rows that one task sweeps.
+ROWS = 200_000
+
+
 def most_placed(runs: int, capacity: int) -> int:
     """The proven bound on placed runs."""
     return 2 * (runs + 3 * runs * (capacity.bit_length() + 1))
@@ -50,6 +51,13 @@ def best_fit_runs(runs: list[tuple[int, int]], capacity: int) -> tuple[np.ndarra
     """Placed runs (size, first rank, documents, first container, documents a container) and the number of containers.
 
     runs: (size, documents of this size), sizes from 1 to the capacity.
+
+    Only the histogram of sizes and the list of placed runs pass through the driver, and both are bounded by the capacity C
+    and not by the rows. Let there be D <= C document runs. A superstep takes one gap run. If it uses the run up, it leaves
+    one run in its place, whose gap is the old one modulo the size and thus less than half of it; so a run is used up at
+    most log2(C) + 1 times before its gap is 0. If it doesn't, it ends the document run and leaves at most three runs. So at
+    most 3 D runs are ever made, there are at most D + 3 D (log2(C) + 1) supersteps, and each places at most two runs. With
+    capacities above MAX_CAPACITY the list could pass 130 MB, so they are refused.
     """
     gaps: dict[int, list[tuple[int, int]]] = {}  # gap: (first container, containers), sorted
     bits = 0  # bit g is set while a container has gap g
@@ -107,7 +115,121 @@ def _ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*b.columns, pa.array(rank)], names=[*b.schema.names, "local"])
 
 
-def pack(sizes: DataFrame, id_col: str, size_col: str, capacity: int) -> DataFrame:
+def _items(sizes: DataFrame, id_col: str, size_col: str, capacity: int) -> DataFrame:
+    """(id, part_no, start, size) of all items with a size; those over the capacity in parts."""
+    base = sizes.select(F.col(id_col).alias("id"), F.col(size_col).cast("long").alias("whole")).where("whole > 0")
+    parts = F.transform(F.sequence(F.lit(0), ((F.col("whole") - 1) / capacity).cast("int")), lambda i: i.cast("int"))
+    return base.select("id", "whole", F.explode(parts).alias("k")).select("id", (F.col("k") + 1).cast("int").alias("part_no"), (F.col("k").cast("long") * capacity).alias("start"), F.least(F.lit(capacity), F.col("whole") - F.col("k").cast("long") * capacity).cast("int").alias("size"))
+
+
+def _sweep(share: float):
+    """One partition of (size, kind, ref) in order; kind 0: document, 1: gap. Gives (tag, pid, rank, size, ref, container).
+
+    tag 0: a placed document; 1: one left over, ranked from the largest down; 2: a gap left over, ranked upwards; 3: what
+    remains of a gap that took documents.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pid = TaskContext.get().partitionId()
+        sizes: list[int] = []  # the stack, always sorted
+        refs: list[int] = []
+        gaps = 0
+
+        def made(rows: list[tuple[int, int, int, int, int]]) -> pa.RecordBatch:
+            tag, rank, size, ref, container = zip(*rows) if rows else ((),) * 5
+            return pa.RecordBatch.from_arrays([pa.array(tag, pa.int32()), pa.array([pid] * len(tag), pa.int32()), pa.array(rank, pa.int64()), pa.array(size, pa.int32()), pa.array(ref, pa.int64()), pa.array(container, pa.int64())], names=["tag", "pid", "rank", "size", "ref", "container"])
+
+        for b in batches:
+            out = []
+            for size, kind, ref in zip(*(b.column(c).to_pylist() for c in ("size", "kind", "ref"))):
+                if kind == 0:
+                    sizes.append(size)
+                    refs.append(ref)
+                elif not sizes:
+                    out.append((2, gaps, size, -1, ref))
+                    gaps += 1
+                else:
+                    left, at = size, len(sizes) - 1
+                    while at >= 0:
+                        left -= sizes[at]
+                        out.append((0, 0, sizes.pop(at), refs.pop(at), ref))
+                        at = bisect_right(sizes, left) - 1 if left > size * share else -1
+                    if left:
+                        out.append((3, 0, left, -1, ref))
+            yield made(out)
+        for i in range(0, len(sizes), 50_000):
+            n = len(sizes)
+            yield made([(1, k, sizes[n - 1 - k], refs[n - 1 - k], -1) for k in range(i, min(i + 50_000, n))])
+
+    return run
+
+
+def _segments(counts: dict[tuple[int, int], int]) -> list[tuple[int, int, int, int, int]]:
+    """(document partition, first rank, gap partition, first rank, n): what partitions have left over, matched by rank.
+
+    counts: (partition, tag) to the number left over. In a partition the gaps left come before the documents left.
+    """
+    out, stack = [], []
+    for pid in sorted({p for p, _ in counts}):
+        gaps, at = counts.get((pid, 2), 0), 0
+        while at < gaps and stack:
+            of, first, n = stack.pop()
+            take = min(n, gaps - at)
+            out.append((of, first, pid, at, take))
+            at += take
+            if take < n:
+                stack.append((of, first + take, n - take))
+        if counts.get((pid, 1), 0):
+            stack.append((pid, 0, counts[pid, 1]))
+    return out
+
+
+def superstep(rows: DataFrame, tasks: int, share: float) -> tuple[DataFrame, DataFrame, int]:
+    """Rows left, (ref, container) of the documents placed, and their number. rows: (size, kind, ref)."""
+    spark = rows.sparkSession
+    order = ["size", "kind", "ref"]
+    out = written(rows.select(*order).repartitionByRange(tasks, *order).sortWithinPartitions(*order).mapInArrow(_sweep(share), "tag int, pid int, rank long, size int, ref long, container long"))
+    counts = {(r["pid"], r["tag"]): r["n"] for r in out.groupBy("pid", "tag").agg(F.count(F.lit(1)).alias("n")).collect()}
+    segments = spark.createDataFrame(_segments(counts), "of int, first long, pid int, at long, n long")
+    documents = out.where("tag = 1").select("rank", "size", "ref", F.col("pid").alias("of")).join(F.broadcast(segments), "of").where("rank >= first AND rank < first + n")  # at most two segments a partition
+    documents = documents.select("ref", "size", "pid", (F.col("at") + F.col("rank") - F.col("first")).alias("rank"))
+    gaps = out.where("tag = 2").select("pid", "rank", "container", F.col("size").alias("gap"))
+    pairs = written(documents.join(gaps, ["pid", "rank"]).select("ref", "container", (F.col("gap") - F.col("size")).alias("size")))
+    left = out.where("tag = 1").select("size", F.lit(0).alias("kind"), "ref").join(pairs.select("ref"), "ref", "left_anti").select(*order)
+    for gap in (out.where("tag = 3"), pairs.where("size > 0"), out.where("tag = 2").join(pairs.select("container"), "container", "left_anti")):
+        left = left.unionByName(gap.select("size", F.lit(1).alias("kind"), F.col("container").alias("ref")))
+    placed = out.where("tag = 0").select("ref", "container").unionByName(pairs.select("ref", "container"))
+    return written(left), placed, sum(n for (_, tag), n in counts.items() if tag == 0) + sum(s[4] for s in _segments(counts))
+
+
+def pack(sizes: DataFrame, id_col: str, size_col: str, capacity: int, share: float = SHARE) -> DataFrame:
+    """(id, part_no, start, size, container_id): where each item, or each part of a divided one, goes.
+
+    part_no counts from 1 and start is the part's first unit within the item.
+    """
+    if capacity < 1:
+        raise ValueError("the capacity must be positive")
+    spark = sizes.sparkSession
+    items = written(_items(sizes, id_col, size_col, capacity).withColumn("ref", F.monotonically_increasing_id()))
+    rows = items.where(F.col("size") < capacity).select("size", F.lit(0).alias("kind"), "ref")
+    placed = items.where(F.col("size") == capacity).select("ref", (-1 - F.col("ref")).alias("container"))  # one each
+    least = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    opened, found = 0, 0
+    while True:
+        n, room = rows.where("kind = 0").agg(F.count(F.lit(1)), F.sum("size")).first()
+        if not n:
+            break
+        if not found:  # the first step, or one that could place nothing
+            new = -(-room // capacity)
+            share = share if not opened else 0.0
+            rows = rows.unionByName(spark.range(opened, opened + new).select(F.lit(capacity).alias("size"), F.lit(1).alias("kind"), F.col("id").alias("ref")))
+            opened += new
+        rows, more, found = superstep(rows, max(least, n // ROWS), share)
+        placed = placed.unionByName(more)
+    return items.join(placed, "ref").select("id", "part_no", "start", "size", F.col("container").alias("container_id"))
+
+
+def pack_runs(sizes: DataFrame, id_col: str, size_col: str, capacity: int) -> DataFrame:
     """(id, part_no, start, size, container_id): where each item, or each part of a divided one, goes.
 
     part_no counts from 1 and start is the part's first unit within the item. Capacities over MAX_CAPACITY are refused.
@@ -115,9 +237,7 @@ def pack(sizes: DataFrame, id_col: str, size_col: str, capacity: int) -> DataFra
     if not 1 <= capacity <= MAX_CAPACITY:
         raise ValueError(f"the capacity must be from 1 to {MAX_CAPACITY}")
     spark = sizes.sparkSession
-    base = sizes.select(F.col(id_col).alias("id"), F.col(size_col).cast("long").alias("whole")).where("whole > 0")
-    parts = F.transform(F.sequence(F.lit(0), ((F.col("whole") - 1) / capacity).cast("int")), lambda i: i.cast("int"))
-    items = cut_lineage(base.select("id", "whole", F.explode(parts).alias("k")).select("id", (F.col("k") + 1).cast("int").alias("part_no"), (F.col("k").cast("long") * capacity).alias("start"), F.least(F.lit(capacity), F.col("whole") - F.col("k").cast("long") * capacity).cast("int").alias("size")))
+    items = cut_lineage(_items(sizes, id_col, size_col, capacity))
     kind = items.schema["id"].dataType.simpleString()
 
     tagged = items.withColumn("pid", F.spark_partition_id())
