@@ -38,8 +38,8 @@ MAX_CAPACITY = 32_768
 
 #: Of a gap that goes on taking documents in one superstep, so much has to be left.
 SHARE = 0.25
-#: Rows that one task sweeps.
-ROWS = 200_000
+#: Documents that one task sweeps.
+ROWS = 50_000
 
 
 def most_placed(runs: int, capacity: int) -> int:
@@ -190,16 +190,23 @@ def superstep(rows: DataFrame, tasks: int, share: float) -> tuple[DataFrame, Dat
     order = ["size", "kind", "ref"]
     out = written(rows.select(*order).repartitionByRange(tasks, *order).sortWithinPartitions(*order).mapInArrow(_sweep(share), "tag int, pid int, rank long, size int, ref long, container long"))
     counts = {(r["pid"], r["tag"]): r["n"] for r in out.groupBy("pid", "tag").agg(F.count(F.lit(1)).alias("n")).collect()}
-    segments = spark.createDataFrame(_segments(counts), "of int, first long, pid int, at long, n long")
-    documents = out.where("tag = 1").select("rank", "size", "ref", F.col("pid").alias("of")).join(F.broadcast(segments), "of").where("rank >= first AND rank < first + n")  # at most two segments a partition
+    segments = _segments(counts)
+    found = sum(n for (_, tag), n in counts.items() if tag == 0) + sum(n for *_, n in segments)
+    document = lambda df: df.select("size", F.lit(0).alias("kind"), "ref")
+    gap = lambda df: df.select("size", F.lit(1).alias("kind"), F.col("container").alias("ref"))
+    placed = out.where("tag = 0").select("ref", "container")
+    if not segments:  # each partition settled its own
+        return document(out.where("tag = 1")).unionByName(gap(out.where("tag >= 2"))), placed, found
+
+    meet = F.broadcast(spark.createDataFrame(segments, "of int, first long, pid int, at long, n long"))  # at most two a partition
+    documents = out.where("tag = 1").select("rank", "size", "ref", F.col("pid").alias("of")).join(meet, "of").where("rank >= first AND rank < first + n")
     documents = documents.select("ref", "size", "pid", (F.col("at") + F.col("rank") - F.col("first")).alias("rank"))
     gaps = out.where("tag = 2").select("pid", "rank", "container", F.col("size").alias("gap"))
     pairs = written(documents.join(gaps, ["pid", "rank"]).select("ref", "container", (F.col("gap") - F.col("size")).alias("size")))
-    left = out.where("tag = 1").select("size", F.lit(0).alias("kind"), "ref").join(pairs.select("ref"), "ref", "left_anti").select(*order)
-    for gap in (out.where("tag = 3"), pairs.where("size > 0"), out.where("tag = 2").join(pairs.select("container"), "container", "left_anti")):
-        left = left.unionByName(gap.select("size", F.lit(1).alias("kind"), F.col("container").alias("ref")))
-    placed = out.where("tag = 0").select("ref", "container").unionByName(pairs.select("ref", "container"))
-    return written(left), placed, sum(n for (_, tag), n in counts.items() if tag == 0) + sum(s[4] for s in _segments(counts))
+    left = document(out.where("tag = 1").join(pairs.select("ref"), "ref", "left_anti"))
+    for part in (out.where("tag = 3"), pairs.where("size > 0"), out.where("tag = 2").join(pairs.select("container"), "container", "left_anti")):
+        left = left.unionByName(gap(part))
+    return written(left), placed.unionByName(pairs.select("ref", "container")), found
 
 
 def pack(sizes: DataFrame, id_col: str, size_col: str, capacity: int, share: float = SHARE) -> DataFrame:
@@ -213,7 +220,6 @@ def pack(sizes: DataFrame, id_col: str, size_col: str, capacity: int, share: flo
     items = written(_items(sizes, id_col, size_col, capacity).withColumn("ref", F.monotonically_increasing_id()))
     rows = items.where(F.col("size") < capacity).select("size", F.lit(0).alias("kind"), "ref")
     placed = items.where(F.col("size") == capacity).select("ref", (-1 - F.col("ref")).alias("container"))  # one each
-    least = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     opened, found = 0, 0
     while True:
         n, room = rows.where("kind = 0").agg(F.count(F.lit(1)), F.sum("size")).first()
@@ -224,7 +230,7 @@ def pack(sizes: DataFrame, id_col: str, size_col: str, capacity: int, share: flo
             share = share if not opened else 0.0
             rows = rows.unionByName(spark.range(opened, opened + new).select(F.lit(capacity).alias("size"), F.lit(1).alias("kind"), F.col("id").alias("ref")))
             opened += new
-        rows, more, found = superstep(rows, max(least, n // ROWS), share)
+        rows, more, found = superstep(rows, 1 + n // ROWS, share)
         placed = placed.unionByName(more)
     return items.join(placed, "ref").select("id", "part_no", "start", "size", F.col("container").alias("container_id"))
 
