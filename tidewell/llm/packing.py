@@ -202,9 +202,9 @@ def superstep(rows: DataFrame, tasks: int, share: float) -> tuple[DataFrame, Dat
     documents = out.where("tag = 1").select("rank", "size", "ref", F.col("pid").alias("of")).join(meet, "of").where("rank >= first AND rank < first + n")
     documents = documents.select("ref", "size", "pid", (F.col("at") + F.col("rank") - F.col("first")).alias("rank"))
     gaps = out.where("tag = 2").select("pid", "rank", "container", F.col("size").alias("gap"))
-    pairs = written(documents.join(gaps, ["pid", "rank"]).select("ref", "container", (F.col("gap") - F.col("size")).alias("size")))
-    left = document(out.where("tag = 1").join(pairs.select("ref"), "ref", "left_anti"))
-    for part in (out.where("tag = 3"), pairs.where("size > 0"), out.where("tag = 2").join(pairs.select("container"), "container", "left_anti")):
+    pairs = written(documents.join(gaps.hint("merge"), ["pid", "rank"]).select("ref", "container", (F.col("gap") - F.col("size")).alias("size")))
+    left = document(out.where("tag = 1").join(pairs.select("ref").hint("merge"), "ref", "left_anti"))
+    for part in (out.where("tag = 3"), pairs.where("size > 0"), out.where("tag = 2").join(pairs.select("container").hint("merge"), "container", "left_anti")):
         left = left.unionByName(gap(part))
     return written(left), placed.unionByName(pairs.select("ref", "container")), found
 
@@ -232,7 +232,7 @@ def pack(sizes: DataFrame, id_col: str, size_col: str, capacity: int, share: flo
             opened += new
         rows, more, found = superstep(rows, 1 + n // ROWS, share)
         placed = placed.unionByName(more)
-    return items.join(placed, "ref").select("id", "part_no", "start", "size", F.col("container").alias("container_id"))
+    return items.join(placed.hint("merge"), "ref").select("id", "part_no", "start", "size", F.col("container").alias("container_id"))
 
 
 def pack_runs(sizes: DataFrame, id_col: str, size_col: str, capacity: int) -> DataFrame:
