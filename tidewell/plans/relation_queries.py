@@ -80,14 +80,14 @@ def gold_entry_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH c AS (SELECT (SELECT count(*) FROM {EVIDENCE} WHERE {_BLANK('text')}) AS no_text, (SELECT count(*) FROM {EVIDENCE} WHERE {_BLANK('url')}) AS no_url)
-    SELECT no_text, no_url, CASE WHEN no_text > 100000000 THEN 'failed' WHEN no_url > 0 THEN 'warning' ELSE 'passed' END AS status FROM c"""
+    f"""WITH c AS (SELECT (SELECT count(*) FROM {EVIDENCE} WHERE {_BLANK('text')}) AS no_text, (SELECT count(*) FROM {EVIDENCE} WHERE {_BLANK('url')}) AS no_url, (SELECT count(*) FROM {EVIDENCE}) AS n)
+    SELECT no_text, no_url, CASE WHEN no_text * 100 > n THEN 'failed' WHEN no_url > 0 THEN 'warning' ELSE 'passed' END AS status FROM c"""
 )
 def readiness_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row: counts of gaps and the gate's status."""
+    """One row: counts of gaps and the gate's status; more than a hundredth of the pages without text is fatal."""
     e = table(spark, sf_dir, EVIDENCE)
-    n = e.agg(F.count(F.when(text.blank(F.col("text")), 1)).alias("no_text"), F.count(F.when(text.blank(F.col("url")), 1)).alias("no_url"))
-    return validate.gate(n.withColumn("fatal", F.when(F.col("no_text") > 100_000_000, 1).otherwise(0)), ["fatal"], ["no_url"]).drop("fatal")
+    n = e.agg(F.count(F.when(text.blank(F.col("text")), 1)).alias("no_text"), F.count(F.when(text.blank(F.col("url")), 1)).alias("no_url"), F.count(F.lit(1)).alias("n"))
+    return validate.gate(n.withColumn("fatal", F.when(F.col("no_text") * 100 > F.col("n"), 1).otherwise(0)), ["fatal"], ["no_url"]).drop("fatal", "n")
 
 
 # --- joins and set operations
@@ -577,8 +577,8 @@ def review_sheet_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review.sheet_rows(g, "refs").select("candidate_id", "evidence_id", "support_label")
 
 
-@query(f"SELECT evidence_id, ingested_at, CASE WHEN try_cast(left(publish_time, 19) AS TIMESTAMP) IS NULL THEN NULL ELSE 1 END AS has_time FROM {EVIDENCE} WHERE regexp_matches(publish_time, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}[ T][0-9]{{2}}:[0-9]{{2}}:[0-9]{{2}}')")
+@query(f"SELECT evidence_id, ingested_at, CASE WHEN regexp_matches(publish_time, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}[ T][0-9]{{2}}:[0-9]{{2}}:[0-9]{{2}}') AND try_cast(left(publish_time, 19) AS TIMESTAMP) IS NOT NULL THEN 1 END AS has_time FROM {EVIDENCE}")
 def iso_times(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which ISO-like times can be read."""
-    e = table(spark, sf_dir, EVIDENCE).where(F.col("publish_time").rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}[ T][0-9]{2}:[0-9]{2}:[0-9]{2}"))
-    return e.select("evidence_id", "ingested_at", F.when(cells.iso_time(F.left("publish_time", F.lit(19))).isNotNull(), 1).alias("has_time"))
+    """Which pages have an ISO-like time that can be read; null for all others."""
+    like = F.col("publish_time").rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}[ T][0-9]{2}:[0-9]{2}:[0-9]{2}")
+    return table(spark, sf_dir, EVIDENCE).select("evidence_id", "ingested_at", F.when(like & cells.iso_time(F.left("publish_time", F.lit(19))).isNotNull(), 1).alias("has_time"))

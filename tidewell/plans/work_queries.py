@@ -154,12 +154,12 @@ def plan_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.join(g, "event_id", "full_outer").select("event_id", F.coalesce("plan", "new_plan").alias("plan"))
 
 
-@query("WITH t AS (SELECT event_type, min(event_id) AS template FROM events WHERE value > 50 GROUP BY event_type) SELECT e.event_id, t.template FROM events e LEFT JOIN t USING (event_type) WHERE e.value < 2")
+@query("WITH t AS (SELECT event_type, min(event_id) AS template FROM events WHERE value > 50 GROUP BY event_type) SELECT e.event_id, t.template FROM events e LEFT JOIN t USING (event_type)")
 def attempt_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first template that fits each attempt."""
     e = table(spark, sf_dir, "events")
     t = e.where("value > 50").groupBy("event_type").agg(F.min("event_id").alias("template"))
-    return e.where("value < 2").select("event_id", "event_type").join(t, "event_type", "left").select("event_id", "template")
+    return e.select("event_id", "event_type").join(t, "event_type", "left").select("event_id", "template")
 
 
 @query(
